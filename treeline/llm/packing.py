@@ -9,6 +9,7 @@ join on their rank within their length.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,29 +23,63 @@ from treeline.llm.token_count import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+#: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
+CACHE_PIECES = 700_000
+
+PIECES = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-class _WordIds(dict):
-    """Whitespace-delimited UTF-8 chunk -> its ids as little-endian unsigned 32-bit bytes.
+# The pieces into which the vocabulary's own pre-tokeniser cuts. Its pattern for lower-case Latin
+# text. Texts with other characters, or with what may be a special string, go to the library whole.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_DIGITS}{_LETTERS}]+").findall
+_OTHER = re.compile(r"[^ -~\n\r\t¡-ÖØ-öø-įı-ɏ]|<\|").search
+
+
+class WordIds(dict):
+    """Piece -> ids as little-endian unsigned 32-bit bytes; texts() gives those of whole texts.
 
-    Exact where a vocabulary drops white space and no special string holds any: then a text's ids are
-    those of its chunks in order."""
+    The vocabulary drops white space, lower-cases and merges within pieces only, so a text's ids are those of
+    its pieces in order. Pieces repeat far more than texts: the first CACHE_PIECES met are kept, others
+    as long as a slice of texts needs them.
+    """
 
     def __init__(self, tok):
         super().__init__()
-        self.tok = tok
+        self.tok, self.passing = tok, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.passing[piece]
+
+    def library(self, text: str) -> bytes:
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """New pieces are encoded together: apart by blanks, each is a word of its own."""
+        e = self.tok.encode(" ".join(new), add_special_tokens=False)
+        ids = np.asarray(e.ids, "<u4").tobytes()
+        ends = (4 * np.searchsorted(np.asarray(e.word_ids), np.arange(len(new) + 1))).tolist()
+        into = self if len(self) + len(new) <= CACHE_PIECES else self.passing
+        into.update(zip(new, (ids[a:b] for a, b in zip(ends, ends[1:]))))
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        cut = [None if _OTHER(t) else _CUT(t.lower()) for t in texts]
+        self.passing = {}
+        if new := [p for p in set().union(*filter(None, cut)) if p not in self]:
+            self._learn(new)
+        return [self.library(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
+
+
+_WORD_IDS: dict[str, WordIds] = {}
+
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        ids = np.asarray(self.tok.encode(word.decode("utf-8"), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
+def word_ids(vocabulary: str) -> WordIds:
+    """Once per vocabulary and Python worker."""
+    if vocabulary not in _WORD_IDS:
+        _WORD_IDS[vocabulary] = WordIds(tokenizer(vocabulary))
+    return _WORD_IDS[vocabulary]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -93,13 +128,13 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        cache = _WordIds(tokenizer(vocabulary))
+        encode = word_ids(vocabulary).texts
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for part in slices(batch, limit=4 << 20):
                 out: list[tuple] = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    ids = b"".join(map(cache.__getitem__, text.encode("utf-8").split())) + end
+                for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
+                    ids += end
                     n = len(ids) // 4
                     for i, begin in enumerate(range(0, n, capacity)):
                         length = min(capacity, n - begin)
