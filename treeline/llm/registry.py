@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, lang_id, licences, packing, quality, token_count, topk_search, toxicity
+from treeline.llm import decontaminate, jaccard, lang_id, licences, packing, quality, token_count, topk_search, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(_read(spark, sf_dir, "embeddings"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_read(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,7 @@ QUERIES = (
     op2_license_scans,
     op3_quality_classifier,
     op4_exact_top_k,
+    op5_ngram_jaccard_join,
     op6_benchmark_decontamination,
     op8_toxicity,
     op9_best_fit_packing,
