@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, jaccard, lang_id, licences, packing, quality, token_count, topk_search, toxicity
+from treeline.llm import decontaminate, jaccard, lang_id, licences, packing, quality, suffix_dedup, token_count, topk_search, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(_read(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = (
     op4_exact_top_k,
     op5_ngram_jaccard_join,
     op6_benchmark_decontamination,
+    op7_suffix_array_dedup,
     op8_toxicity,
     op9_best_fit_packing,
     op10_language_id,
