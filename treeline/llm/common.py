@@ -16,8 +16,8 @@ SLICE_BYTES = 1 << 20
 class Workspace:
     """A folder of written tables in the cluster's shared folder (spark.checkpoint.dir).
 
-    Written tables cut lineage and outlive executors. The folder goes when the JVM ends, or earlier
-    by drop(), once nothing reads its tables any more.
+    Written tables cut lineage and outlive executors. The folder goes when the JVM ends; an operator may
+    forget single tables before, once what it returns no longer reads them.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -29,11 +29,9 @@ class Workspace:
             root = f"file://{tempfile.gettempdir()}/treeline-checkpoints"
         self.spark = spark
         self.path = f"{root.rstrip('/')}/treeline-{name}-{uuid.uuid4().hex}"
-        jvm = sc._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path(self.path)
-        self._fs = self._path.getFileSystem(sc._jsc.hadoopConfiguration())
-        self._fs.deleteOnExit(self._path)
-        OPEN.append(self)
+        self._at = sc._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(sc._jsc.hadoopConfiguration())
+        self._fs.deleteOnExit(self._at(self.path))
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return a reader of what was written."""
@@ -41,20 +39,10 @@ class Workspace:
         df.write.parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
-    def drop(self) -> None:
-        self._fs.delete(self._path, True)
-        if self in OPEN:
-            OPEN.remove(self)
-
-
-#: Workspaces not dropped yet.
-OPEN: list[Workspace] = []
-
-
-def drop_workspaces() -> None:
-    """Drop all workspaces; only for a caller that has written every result it still needs."""
-    for w in list(OPEN):
-        w.drop()
+    def forget(self, *names: str) -> None:
+        """Delete tables that nothing reads any more: all that came of them has been written."""
+        for name in names:
+            self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

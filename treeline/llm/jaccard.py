@@ -360,6 +360,9 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     buckets = linkable.select("fp", F.explode("sigs").alias("sig"))
     centre = F.first("fp").over(Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
     edges = work.table(buckets.withColumn("centre", centre).where("fp <> centre").select("sig", "centre", "fp").distinct(), "edges")
+    signed = work.table(signed.select("doc_id", "n", "fp"), "rows")
+    work.forget("signed")
+    linkable = signed.where("n > 0 and doc_id is not null")
     # Each node's first check: the centre it shares most buckets with.
     votes = edges.groupBy("fp", "centre").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("fp").agg(F.max(F.struct("votes", "centre"))["centre"].alias("centre"))

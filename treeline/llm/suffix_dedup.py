@@ -491,7 +491,9 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit:
     spans = whole.unionByName(_sorted_blocks(sort, window)).unionByName(single)
     once = keys.where("many = 1").select("key")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(once, "key", "left_semi")  # spans of one text
-    return texts, rows, keys, work.table(spans, "spans"), work
+    spans = work.table(spans, "spans")
+    work.forget("fates", "lists", "fetched")
+    return texts, rows, keys, spans, work
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
