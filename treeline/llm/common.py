@@ -68,6 +68,23 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def tidy(run):
+    """A batch function that gives its freed memory back when its task ends; workers are kept for later tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 def bounded_labels(
     docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, limit: int
 ) -> DataFrame:

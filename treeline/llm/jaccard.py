@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import Workspace, id_text, slices
+from treeline.llm.common import Workspace, id_text, slices, tidy
 from treeline.llm.components import components
 
 RATIO = 1.35
@@ -176,7 +176,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(e.view(np.int64)), pa.array(n)], names=["e", "n"])
 
     least = max(20, int(COMMON_SHARE * COMMON_SAMPLE))
-    found = rows.mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = rows.mapInArrow(tidy(run), "e long, n long").groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(np.array([r["e"] for r in found.select("e").collect()], np.int64).view(np.uint64))  # 1/share times a set at most
 
 
@@ -186,7 +186,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch):
                 texts = part.column("text").to_pylist()
                 doc, h = shingle_sets(texts, words)
                 size, fp = fingerprints(doc, h, len(texts))
@@ -209,7 +209,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray)
                     [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(fp), sigs], names=["doc_id", "n", "fp", "sigs"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, fp long, sigs array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, fp long, sigs array<long>")
 
 
 def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
@@ -235,7 +235,7 @@ def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                     names=["fp", "n", "elements", "sketch"],
                 )
 
-    return rows.mapInArrow(run, "fp long, n long, elements binary, sketch binary")
+    return rows.mapInArrow(tidy(run), "fp long, n long, elements binary, sketch binary")
 
 
 def _linked(a: bytes, b: bytes, num: int, den: int) -> bool:
@@ -272,7 +272,7 @@ def _star(stars: DataFrame, sets: DataFrame, num: int, den: int, work: Workspace
             kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "centre", "linked", "n", "sketch"])
 
-    return rows.select("fp", "n", "elements", "sketch", "centre", "salt", "role").mapInArrow(run, "fp long, centre long, linked boolean, n long, sketch binary")
+    return rows.select("fp", "n", "elements", "sketch", "centre", "salt", "role").mapInArrow(tidy(run), "fp long, centre long, linked boolean, n long, sketch binary")
 
 
 def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
     rows = rows.select("sig", "fp", "label", "n", "sketch", "mine", other)
     rows = rows.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "label", "n", "sketch")
     rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    return rows.mapInArrow(run, "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
+    return rows.mapInArrow(tidy(run), "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,7 +341,7 @@ def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
             ok = [_linked(p, q, num, den) for p, q in zip(b.column("ea").to_pylist(), b.column("eb").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "ea", "eb").mapInArrow(tidy(run), "a long, b long")
 
 
 def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> DataFrame:

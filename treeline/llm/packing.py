@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import Workspace, id_text, slices
+from treeline.llm.common import Workspace, id_text, slices, tidy
 from treeline.llm.token_count import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 
 PIECES = 600_000
 
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
         encode = word_ids(vocabulary).texts
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch, limit=2 << 20):
                 out: list[tuple] = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     ids += end
@@ -146,7 +146,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return id_text(docs).mapInArrow(run, PIECES)
+    return id_text(docs).mapInArrow(tidy(run), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -27,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.llm.common import Workspace, id_text, slices
+from treeline.llm.common import Workspace, id_text, slices, tidy
 
 WINDOW = 200
 ANCHOR = 64
 #: Unlike runs of a bucket that are sorted together.
 LIMIT = 512
 #: Suffixes of one run at most, and of one piece of a text when runs are found.
-RUN, CHUNK = 1024, 1 << 19
+RUN, CHUNK = 1024, 1 << 16
 #: Bytes of run contents sorted at once.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 DEPTH = 64
 #: Buckets common in a bounded sample (documents smallest by hash of the id) are dealt by contents at once.
 HOT_SAMPLE, HOT_SHARE = 2000, 0.02
@@ -158,7 +158,7 @@ def _hot(texts: DataFrame, window: int, anchor: int) -> np.ndarray:
                     e, n = np.unique(pairs[1], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(e), pa.array(n)], names=["e", "n"])
 
-    rows = texts.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "e long, n long")
+    rows = texts.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(tidy(run), "e long, n long")
     found = rows.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= max(20, int(HOT_SHARE * HOT_SAMPLE)))
     return np.sort(np.array([r["e"] for r in found.select("e").collect()], np.int64))  # bounded by the sample
 
@@ -173,7 +173,7 @@ def _runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch):
                 keys = np.array(part.column("key"), np.int64)
                 texts, owners = [], []
                 for i, (key, text) in enumerate(zip(keys.tolist(), part.column("text").to_pylist())):
@@ -197,7 +197,7 @@ def _runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                         names=["bucket", "contents", "key", "place"],
                     )
 
-    return texts.select("key", "text").mapInArrow(run, "bucket long, contents long, key long, place long")
+    return texts.select("key", "text").mapInArrow(tidy(run), "bucket long, contents long, key long, place long")
 
 
 #: What becomes of a run: repeated as a whole; bytes to be sorted, as a candidate or only as a partner;
@@ -278,7 +278,7 @@ def _decided(runs: DataFrame, hot: np.ndarray, limit: int) -> DataFrame:
     if hot_values:
         by = by.when(F.col("bucket").isin(hot_values), F.xxhash64("bucket", "contents"))
     rows = runs.repartition(by.otherwise(F.xxhash64("bucket"))).sortWithinPartitions("bucket", "contents")
-    return rows.mapInArrow(run, "key long, position long, size long, bucket long, fate int")
+    return rows.mapInArrow(tidy(run), "key long, position long, size long, bucket long, fate int")
 
 
 @lru_cache
@@ -429,7 +429,7 @@ def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, wo
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     schema = "bucket long, second long, key long, position long, size long, fate int, bytes binary"
-    got = work.table(rows.select("key", "text", "runs").mapInArrow(run, schema), "fetched")
+    got = work.table(rows.select("key", "text", "runs").mapInArrow(tidy(run), schema), "fetched")
     return got.where(F.col("fate").isin(SORT, PARTNER)), got.where(F.col("fate").isin(HASH, HASH_PARTNER))
 
 
@@ -469,7 +469,7 @@ def _sorted_blocks(rows: DataFrame, window: int) -> DataFrame:
         yield flush(held)
 
     rows = rows.select("bucket", "key", "position", "size", "fate", "bytes").repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(run, "key long, first long, last long")
+    return rows.mapInArrow(tidy(run), "key long, first long, last long")
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit: int = LIMIT) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, Workspace]:
@@ -529,7 +529,7 @@ def _cut_texts(texts: DataFrame, spans: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, "key long, n_removed long, n_spans long, kept binary")
+    return rows.mapInArrow(tidy(run), "key long, n_removed long, n_spans long, kept binary")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -575,4 +575,4 @@ def _valid(cut: DataFrame) -> DataFrame:
             kept = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(kept, pa.string())], names=["__of", "__kept"])
 
-    return cut.select("key", "kept").mapInArrow(run, "__of long, __kept string")
+    return cut.select("key", "kept").mapInArrow(tidy(run), "__of long, __kept string")
