@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 
 def _starts(lengths: Column, limit: Column, overlap: int) -> Column:
-    """Fold: (starts array, tokens so far). A group that would overflow closes; the next begins `overlap` earlier."""
-    state = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("i"))
+    """Fold: where groups begin, as (first, at): a group that would overflow closes at `at`, and the next begins
+    `overlap` earlier."""
+    one = lambda first, at: F.struct(first.cast("int").alias("first"), at.cast("int").alias("at"))
+    state = F.struct(F.array(one(F.lit(0), F.lit(0))).alias("starts"), F.lit(0).cast("long").alias("held"), F.lit(0).alias("i"))
 
     def step(s: Column, n: Column) -> Column:
-        full = (s["i"] > F.element_at(s["starts"], -1)) & (s["held"] + n > limit)
+        full = (s["i"] > F.element_at(s["starts"], -1)["first"]) & (s["held"] + n > limit)
         begin = F.greatest(s["i"] - overlap, F.lit(0))
         again = F.aggregate(F.slice(lengths, begin + 1, s["i"] - begin), F.lit(0).cast("long"), lambda a, x: a + x)
         return F.struct(
-            F.when(full, F.concat(s["starts"], F.array(begin))).otherwise(s["starts"]).alias("starts"),
+            F.when(full, F.concat(s["starts"], F.array(one(begin, s["i"])))).otherwise(s["starts"]).alias("starts"),
             (F.when(full, again).otherwise(s["held"]) + n).alias("held"),
             (s["i"] + 1).alias("i"),
         )
@@ -29,9 +31,9 @@ def _grouped(rows: DataFrame, order: str, tokens: str, limit: Column, overlap: i
     """(doc_id, group, first, last): positions from 0."""
     packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(tokens).cast("long").alias("n")))).alias("x"))
     packed = packed.withColumn("ns", F.transform("x", lambda x: x["n"])).withColumn("total", F.aggregate("ns", F.lit(0).cast("long"), lambda a, x: a + x))
-    packed = packed.withColumn("limit", limit).withColumn("starts", F.when(F.col("total") <= F.col("limit"), F.array(F.lit(0))).otherwise(_starts(F.col("ns"), F.col("limit"), overlap)))
-    end = lambda s, i: F.coalesce(F.get("starts", i + 1) + overlap - 1, F.size("ns") - 1)
-    return packed.select("doc_id", F.posexplode(F.transform("starts", lambda s, i: F.struct(s.alias("first"), end(s, i).alias("last")))).alias("group", "g")).select("doc_id", "group", F.col("g.first").alias("first"), F.col("g.last").alias("last"))
+    packed = packed.withColumn("limit", limit).withColumn("starts", F.when(F.col("total") <= F.col("limit"), F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("at")))).otherwise(_starts(F.col("ns"), F.col("limit"), overlap)))
+    end = lambda i: F.coalesce(F.get("starts", i + 1)["at"] - 1, F.size("ns") - 1)
+    return packed.select("doc_id", F.posexplode(F.transform("starts", lambda s, i: F.struct(s["first"].alias("first"), end(i).alias("last")))).alias("group", "g")).select("doc_id", "group", F.col("g.first").alias("first"), F.col("g.last").alias("last"))
 
 
 def page_groups(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1) -> DataFrame:

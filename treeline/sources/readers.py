@@ -18,7 +18,7 @@ def tree_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     rows = rows.where((name != "_meta.json") & ~name.endswith(".partial.json"))
-    return rows.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), T.file_stem("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    return rows.select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), T.file_stem("path").alias("doc_id"), F.decode("content", "UTF-8").alias("raw"))
 
 
 def readable(trees: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -17,7 +17,7 @@ def new_trees(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (path, doc_id, raw)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     rows = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.json").load(folder)
-    return rows.select("path", T.file_stem("path").alias("doc_id"), F.decode("content", F.lit("UTF-8")).alias("raw"))
+    return rows.select("path", T.file_stem("path").alias("doc_id"), F.decode("content", "UTF-8").alias("raw"))
 
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str) -> StreamingQuery:
