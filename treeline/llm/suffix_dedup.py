@@ -12,7 +12,9 @@ time, and only those that can be repeated:
    period puts both on sampled positions, which are ranked to the full window). Neighbours in the
    order that agree on a whole window are repeated.
 
-Buckets with more unlike runs than LIMIT, as a very common line makes, are split by a 128-bit hash of the window.
+Buckets with more unlike runs than LIMIT, as a very common line makes, are not sorted together. Their windows are
+lined up by the bucket's string and refined in blocks of STEPS places: a block goes if no other has the bytes that all its windows
+share, it is repeated if another equals it (128-bit hashes), and what is left is divided, down to single windows.
 Texts are known by a 64-bit hash; equal texts are one text, repeated from end to end.
 """
 
@@ -24,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.llm.common import Workspace, id_text, slices, tidy
@@ -35,6 +37,8 @@ ANCHOR = 64
 LIMIT = 512
 #: Suffixes of one run at most, and of one piece of a text when runs are found.
 RUN, CHUNK = 1024, 1 << 16
+#: Places of windows, relative to their bucket's string, that are judged together in large buckets.
+STEPS = (16, 4, 1)
 #: Bytes of run contents sorted at once.
 BLOCK = 1 << 20
 DEPTH = 64
@@ -201,7 +205,7 @@ def _runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 #: What becomes of a run: repeated as a whole; bytes to be sorted, as a candidate or only as a partner;
-#: windows to be hashed, likewise.
+#: or, in a large bucket, refined, likewise.
 WHOLE, SORT, PARTNER, HASH, HASH_PARTNER = range(5)
 
 
@@ -392,8 +396,35 @@ def repeated_suffixes(contents: list[bytes], sizes: list[int], groups: list[int]
     return np.split(hit, np.cumsum(size)[:-1]) if len(size) else []
 
 
-def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Bytes of runs to be sorted, and hashes of windows to be hashed."""
+BLOCKS = "core long, whole long, key long, position long, size long, lead int, candidate boolean, bytes binary"
+
+
+def _refined(key: int, position: int, size: int, lead: int, candidate: bool, content: bytes, step: int, window: int) -> Iterator[tuple]:
+    """Blocks of a stretch of windows that see the bucket's string from lead, lead - 1, ... bytes ahead: a block holds the
+    windows of one `step` of places. core hashes what all windows of that step share, whole the block itself."""
+    from xxhash import xxh3_64_intdigest, xxh64_intdigest
+
+    begin = 0
+    while begin < size:
+        least = (lead - begin) // step * step
+        end = min(size, lead - least + 1)
+        part = content[begin : end + window - 1]
+        core = content[lead - least : lead - least - step + 1 + window]
+        yield (
+            xxh3_64_intdigest(core) - 2**63, xxh64_intdigest(part, end - begin) - 2**63, key, position + begin, end - begin, lead - begin, candidate,
+            part if step > 1 else None,
+        )
+        begin = end
+
+
+def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.bool_(), pa.binary()]
+    cols = list(zip(*rows)) or [[]] * 8
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+
+def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, anchor: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Bytes of runs to be sorted, and first blocks of runs in large buckets."""
     wanted = runs.where(F.col("fate") != WHOLE)
     lists = wanted.groupBy("key").agg(F.collect_list(F.struct("position", "size", "bucket", "fate")).alias("runs"))  # runs of one text
     lists = lists.join(keys.select("key", "row"), "key")
@@ -405,8 +436,8 @@ def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, wo
     rows = rows.join(lists, ["key", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "second", "key", "position", "size", "fate", "bytes"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["key", "position", "size", "bucket", "fate", "bytes"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         last = None
         for batch in batches:
             for part in slices(batch):
@@ -416,27 +447,65 @@ def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, wo
                         continue
                     last = key
                     data = text.encode()
-                    for r in runs_:
-                        p, m, fate = r["position"], r["size"], r["fate"]
-                        content = data[p : p + m + window - 1]
-                        if fate in (SORT, PARTNER):
-                            out.append((r["bucket"], 0, key, p, m, fate, content))
-                        else:
-                            h = Rolling(np.frombuffer(content, np.uint8)).all(window)
-                            for i, (x, y) in enumerate(zip(_mix(h).view(np.int64).tolist(), _second(content, window, m))):
-                                out.append((x, y, key, p + i, 1, fate, None))
-                cols = list(zip(*out)) or [[]] * 7
+                    out += [(key, r["position"], r["size"], r["bucket"], r["fate"], data[r["position"] : r["position"] + r["size"] + window - 1]) for r in runs_]
+                cols = list(zip(*out)) or [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    schema = "bucket long, second long, key long, position long, size long, fate int, bytes binary"
+    schema = "key long, position long, size long, bucket long, fate int, bytes binary"
     got = work.table(rows.select("key", "text", "runs").mapInArrow(tidy(run), schema), "fetched")
-    return got.where(F.col("fate").isin(SORT, PARTNER)), got.where(F.col("fate").isin(HASH, HASH_PARTNER))
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, position, size, bucket, fate, content in zip(*(batch.column(c).to_pylist() for c in names)):
+                grams = _mix(Rolling(np.frombuffer(content, np.uint8)).all(anchor)).view(np.int64)
+                spots = np.flatnonzero(grams == bucket)
+                at = spots[np.searchsorted(spots, np.arange(size))]
+                cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]).tolist() + [size]
+                for a, b in zip(cuts, cuts[1:]):
+                    out += _refined(key, position + a, b - a, int(at[a]) - a, fate == HASH, content[a : b + window - 1], STEPS[0], window)
+            yield _block_batch(out)
+
+    names = ("key", "position", "size", "bucket", "fate", "bytes")
+    large = got.where(F.col("fate").isin(HASH, HASH_PARTNER)).select(*names)
+    return got.where(F.col("fate").isin(SORT, PARTNER)), large.mapInArrow(tidy(first), BLOCKS)
+
+
+def _large_buckets(blocks: DataFrame, window: int, work: Workspace) -> DataFrame:
+    """(key, first, last) byte intervals of repeated windows, from the first blocks of runs in large buckets."""
+    found = None
+    for turn, step in enumerate(STEPS):
+        blocks = work.table(blocks, f"blocks-{turn}")
+        if blocks.isEmpty():
+            break
+        ident = F.xxhash64("key", "position")
+        of = lambda *by: blocks.groupBy(*by).agg(F.min(ident).alias("a"), F.max(ident).alias("b")).where("a <> b").select(*by)
+        equal = work.table(of("core", "whole").withColumn("equal", F.lit(True)), f"equal-{turn}")
+        marks = blocks.where("candidate").join(equal.drop("equal"), ["core", "whole"], "left_semi")
+        marks = marks.select("key", F.col("position").alias("first"), (F.col("position") + F.col("size") + window - 1).alias("last"))
+        found = marks if found is None else found.unionByName(marks)
+        if step == STEPS[-1]:
+            break
+        # Blocks that share a core go on, as candidates or partners; those already repeated stay partners.
+        rest = blocks.join(of("core"), "core", "left_semi").join(equal, ["core", "whole"], "left")
+        rest = rest.withColumn("candidate", F.col("candidate") & F.col("equal").isNull())
+        open_ = work.table(rest.where("candidate").select("core").distinct(), f"open-{turn}")
+        rest = rest.join(open_, "core", "left_semi")
+        # Of blocks equal to each other one is partner enough.
+        alone = rest.where("candidate").drop("equal")
+        one = rest.where("not candidate").drop("equal").withColumn("nth", F.row_number().over(Window.partitionBy("core", "whole").orderBy("key", "position")))
+        rest = alone.unionByName(one.where("nth = 1").drop("nth"))
+        following = STEPS[turn + 1]
+
+        def divide(batches: Iterator[pa.RecordBatch], following=following) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for key, position, size, lead, candidate, content in zip(*(batch.column(c).to_pylist() for c in ("key", "position", "size", "lead", "candidate", "bytes"))):
+                    out += _refined(key, position, size, lead, candidate, content, following, window)
+                yield _block_batch(out)
 
-def _second(content: bytes, window: int, many: int) -> list[int]:
-    from xxhash import xxh3_64_intdigest
-
-    return [xxh3_64_intdigest(content[i : i + window]) - 2**63 for i in range(many)]
+        blocks = rest.select("key", "position", "size", "lead", "candidate", "bytes").mapInArrow(tidy(divide), BLOCKS)
+    return found if found is not None else blocks.select("key", F.col("position").alias("first"), F.col("size").alias("last")).where("false")
 
 
 def _sorted_blocks(rows: DataFrame, window: int) -> DataFrame:
@@ -482,17 +551,13 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit:
     rows = texts.select("doc_id", "row", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("own"))
     rows = work.table(rows, "rows")
     keys = work.table(rows.groupBy("key").agg(F.count("*").alias("many"), F.min("row").alias("row")), "keys")
-    sort, hashed = _fetched(texts, fates, keys, window, work)
+    sort, large = _fetched(texts, fates, keys, window, anchor, work)
     whole = fates.where(F.col("fate") == WHOLE).select("key", F.col("position").alias("first"), (F.col("position") + F.col("size") + window - 1).alias("last"))
-    ident = F.xxhash64("key", "position")
-    twice = hashed.groupBy("bucket", "second").agg(F.min(ident).alias("a"), F.max(ident).alias("b")).where("a <> b").select("bucket", "second")
-    single = hashed.where(F.col("fate") == HASH).join(twice, ["bucket", "second"], "left_semi")
-    single = single.select("key", F.col("position").alias("first"), (F.col("position") + window).alias("last"))
-    spans = whole.unionByName(_sorted_blocks(sort, window)).unionByName(single)
+    spans = whole.unionByName(_sorted_blocks(sort, window)).unionByName(_large_buckets(large, window, work))
     once = keys.where("many = 1").select("key")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(once, "key", "left_semi")  # spans of one text
     spans = work.table(spans, "spans")
-    work.forget("fates", "lists", "fetched")
+    work.forget("fates", "lists", "fetched", *[f"{n}-{i}" for n in ("blocks", "equal", "open") for i in range(len(STEPS))])
     return texts, rows, keys, spans, work
 
 
@@ -562,11 +627,10 @@ def remove(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> Dat
     kept = work.table(_valid(_cut_texts(texts, spans)), "kept")
     copies = work.table(keys.where("many > 1").select(F.col("key").alias("__copied")), "copies")
     key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.withColumn("__key", key)
-    rows = rows.join(kept, rows["__key"] == kept["__of"], "left").join(copies, rows["__key"] == copies["__copied"], "left")
-    gone = F.col("__copied").isNotNull() & (F.octet_length(docs[text_col]) >= window)
-    new = F.when(gone, F.lit("")).otherwise(F.coalesce("__kept", docs[text_col]))
-    return rows.withColumn("__new", new).select(*[F.col("__new").alias(c) if c == text_col else docs[c] for c in docs.columns])
+    rows = docs.join(kept, key == kept["__of"], "left").join(copies, key == copies["__copied"], "left")
+    gone = copies["__copied"].isNotNull() & (F.octet_length(docs[text_col]) >= window)
+    new = F.when(gone, F.lit("")).otherwise(F.coalesce(kept["__kept"], docs[text_col]))
+    return rows.select(*[new.alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _valid(cut: DataFrame) -> DataFrame:
