@@ -486,14 +486,14 @@ def _large_buckets(blocks: DataFrame, window: int, work: Workspace) -> DataFrame
         found = marks if found is None else found.unionByName(marks)
         if step == STEPS[-1]:
             break
-        # Blocks that share a core go on, as candidates or partners; those already repeated stay partners.
-        rest = blocks.join(of("core"), "core", "left_semi").join(equal, ["core", "whole"], "left")
-        rest = rest.withColumn("candidate", F.col("candidate") & F.col("equal").isNull())
-        open_ = work.table(rest.where("candidate").select("core").distinct(), f"open-{turn}")
-        rest = rest.join(open_, "core", "left_semi")
+        # Blocks that share a core with an open candidate go on; those already repeated are partners only.
+        rest = blocks.join(equal, ["core", "whole"], "left").withColumn("candidate", F.col("candidate") & F.col("equal").isNull()).drop("equal")
+        rest = work.table(rest, f"judged-{turn}")
+        shared = rest.groupBy("core").agg(F.min(ident).alias("a"), F.max(ident).alias("b"), F.max("candidate").alias("open")).where("a <> b and open").select("core")
+        rest = rest.join(work.table(shared, f"open-{turn}"), "core", "left_semi")
         # Of blocks equal to each other one is partner enough.
-        alone = rest.where("candidate").drop("equal")
-        one = rest.where("not candidate").drop("equal").withColumn("nth", F.row_number().over(Window.partitionBy("core", "whole").orderBy("key", "position")))
+        alone = rest.where("candidate")
+        one = rest.where("not candidate").withColumn("nth", F.row_number().over(Window.partitionBy("core", "whole").orderBy("key", "position")))
         rest = alone.unionByName(one.where("nth = 1").drop("nth"))
         following = STEPS[turn + 1]
 
@@ -557,7 +557,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit:
     once = keys.where("many = 1").select("key")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(once, "key", "left_semi")  # spans of one text
     spans = work.table(spans, "spans")
-    work.forget("fates", "lists", "fetched", *[f"{n}-{i}" for n in ("blocks", "equal", "open") for i in range(len(STEPS))])
+    work.forget("fates", "lists", "fetched", *[f"{n}-{i}" for n in ("blocks", "equal", "judged", "open") for i in range(len(STEPS))])
     return texts, rows, keys, spans, work
 
 
