@@ -200,14 +200,16 @@ def _(q, d):
 
 
 def _gold(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """Questions with the documents that hold them verbatim, found by a seed of their first five words."""
-    seed = lambda c: F.slice(F.split(c, r"\s+"), 1, 3)
-    words = F.split("text", r"\s+")
-    keys = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("body"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, F.lit(3))))).alias("h"))
-    b = bench.select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.xxhash64(seed("text")).alias("h"))
+    """Questions with the documents that hold them verbatim, found by a seed of their first three words."""
+    seed = lambda w, i: F.xxhash64(*[F.get(w, i + o) for o in range(3)])
+    words = docs.select(F.col("doc_id").alias("node"), F.col("text").alias("body"), F.split("text", r"\s+").alias("w"))
+    # Positions are generated rather than transformed, so each text is split once.
+    at = words.select("node", "body", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))).alias("i"))
+    keys = at.select("node", "body", seed("w", F.col("i")).alias("h"))
+    b = bench.select(F.col("item_id").alias("id"), F.col("text").alias("question"), seed(F.split("text", r"\s+"), F.lit(0)).alias("h"))
     rows = keys.join(F.broadcast(b), "h").where(F.contains(F.col("body"), F.col("question"))).select("id", "question", "node").distinct()
     one = F.struct(F.col("node").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("node_id"))
-    return rows.groupBy("id", "question").agg(F.array_sort(F.collect_list(one)).alias("relevant"))
+    return rows.groupBy("id", "question").agg(F.array_sort(F.collect_list(one)).alias("relevant")).cache()
 
 
 @query("mrr_recall", {"d": "documents", "b": "benchmark"}, f"""WITH {_bm25_sql('SELECT item_id AS id, text AS question FROM b')},
