@@ -36,7 +36,8 @@ from treeline.llm.components import components
 RATIO = 1.35
 #: Largest k of the two-of-k+2 scheme.
 SMALL_K = 8
-SKETCH = 64
+#: Bytes of the sketch that goes with every bucket member, and of the one that pairs are checked by before sets are fetched.
+SKETCH, WIDE = 64, 512
 #: Common elements: in this share of a sample of so many documents (smallest by hash of the id).
 COMMON_SHARE, COMMON_SAMPLE = 0.05, 2000
 #: Nodes a task checks against one centre, about.
@@ -159,10 +160,10 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
     return np.concatenate(docs_out), np.concatenate(sigs_out).view(np.int64)
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+def sketches(doc: np.ndarray, h: np.ndarray, n: int, width: int = SKETCH) -> np.ndarray:
     """Saturated element counts per hash bucket: their distance never exceeds the sets' difference."""
-    cell = doc * SKETCH + (_mix(h, 10) % np.uint64(SKETCH)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
+    cell = doc * width + (_mix(h, 10) % np.uint64(width)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=n * width), 255).astype(np.uint8).reshape(n, width)
 
 
 def _common(docs: DataFrame, words: int) -> np.ndarray:
@@ -212,7 +213,7 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray)
     return docs.mapInArrow(tidy(run), "doc_id long, n long, fp long, sigs array<long>")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+def _sets(docs: DataFrame, reps: DataFrame, words: int, width: int = SKETCH) -> DataFrame:
     """(fp, n, elements, sketch) of the representative documents (doc_id)."""
     ids = reps.select("doc_id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -224,7 +225,7 @@ def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
                 texts = part.column("text").to_pylist()
                 doc, h = shingle_sets(texts, words)
                 size, fp = fingerprints(doc, h, len(texts))
-                sk, ends = sketches(doc, h, len(texts)), np.r_[0, np.cumsum(size)]
+                sk, ends = sketches(doc, h, len(texts), width), np.r_[0, np.cumsum(size)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(fp),
@@ -331,6 +332,22 @@ def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(tidy(run), "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
+def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that wide sketches allow; they go before whole sets travel."""
+    x = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            wide = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int16)
+            most = difference(np.array(b.column("na")), np.array(b.column("nb")), num, den)
+            yield b.select(["a", "b"]).filter(pa.array(np.abs(wide("sa") - wide("sb")).sum(1) <= most))
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
+
+
 def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The linked ones of pairs (a, b)."""
     x = sets.select(F.col("fp").alias("a"), F.col("elements").alias("ea"))
@@ -379,11 +396,13 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
         labels = components(links, work, "c0")
         for turn, quota in enumerate(QUOTAS):
             fp_label = labels.select(F.col("node").alias("fp"), "label")
+            edges = edges.select("sig", "centre", "fp")
             known = edges.join(fp_label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
             centres = fp_label.select(F.col("fp").alias("centre"), F.col("label").alias("of_centre"))
             known = known.join(centres, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
             split = known.where("label <> of_centre").select("sig").distinct()
-            mixed = known.join(split, "sig", "left_semi")
+            # Components only grow, so other buckets never matter again.
+            edges = mixed = work.table(known.join(split, "sig", "left_semi"), f"mixed-{turn}")
             members = mixed.select("sig", "fp", "label").unionByName(mixed.select("sig", F.col("centre").alias("fp"), F.col("of_centre").alias("label"))).distinct()
             members = work.table(members.join(info, "fp"), f"members-{turn}")
             if members.isEmpty():
@@ -393,18 +412,38 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
             if fresh.isEmpty():
                 continue
             wanted = fresh.select(F.col("a").alias("fp")).unionByName(fresh.select(F.col("b").alias("fp"))).distinct()
-            some = _sets(texts, reps.join(wanted, "fp", "left_semi"), words).dropDuplicates(["fp"])
-            some = work.table(some, f"sets-{turn}")
-            more = work.table(_pairs(fresh, some, num, den), f"links-{turn}")
+            some = work.table(_sets(texts, reps.join(wanted, "fp", "left_semi"), words, WIDE), f"sets-{turn}")
+            if some.count() > some.select("fp").distinct().count():  # repeated ids
+                some = work.table(some.dropDuplicates(["fp"]), f"single-{turn}")
+            near = work.table(_near(fresh, some, num, den), f"near-{turn}")
+            more = work.table(_pairs(near, some, num, den), f"links-{turn}")
             tried = work.table(tried.unionByName(fresh).distinct(), f"tried-{turn}")
             links = work.table(links.unionByName(more), f"all-{turn}")
+            work.forget(*[f"{t}-{turn}" for t in ("members", "pairs", "sets", "single", "near")])
             if not more.isEmpty():
                 labels = components(links, work, f"c{turn + 1}")
         keyed = signed.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
     else:
         keyed = signed.withColumn("label", F.lit(None).cast("long"))
+    work.forget("edges", "stars", "reps", "roles", "checked", "info", *[f"{t}-{i}" for t in ("mixed", "tried", "all", "links") for i in range(len(QUOTAS))])
     keyed = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("key"))
     least = work.table(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "least")
     out = keyed.join(least, "key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def oracle(words: int = 4, num: int = 85, den: int = 100) -> str:
+    """The same in DuckDB SQL."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    i AS (SELECT doc_id, w, unnest(range(1, CAST(greatest(len(w) - {words} + 2, 2) AS BIGINT))) AS i FROM d WHERE len(w) > 0),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {words} - 1], ' ') AS g FROM i),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE {den} * c >= {num} * (a.n + b.n - c)),
+    e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r(doc_id, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.doc_id)
+    SELECT r.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.m) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """

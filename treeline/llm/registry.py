@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": topk_search.oracle(), "op6_benchmark_decontamination": decontaminate.oracle()}
+    return {"op4_exact_top_k": topk_search.oracle(), "op5_ngram_jaccard_join": jaccard.oracle(), "op6_benchmark_decontamination": decontaminate.oracle()}
