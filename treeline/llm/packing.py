@@ -24,7 +24,7 @@ from treeline.llm.token_count import tokenizer
 CAPACITY = 4096
 END_ID = 1
 #: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 500_000
+CACHE_PIECES = 350_000
 
 PIECES = 600_000
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from treeline.llm import calibration
-from treeline.llm.common import Workspace, bounded_labels, fold, id_text, slices
+from treeline.llm.common import Workspace, bounded_labels, fold, id_text, slices, tidy
 
 #: Training documents per label value at most: the smallest by hash of the id.
 SAMPLE_PER_LABEL = 12_000
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(got, pa.int64()), b.column("text")], names=["label", "sketch", "text"])
 
     # One text speaks for its copies: else the words of a copied text pass for evidence.
-    texts = work.table(texts.mapInArrow(sketched, "label int, sketch long, text string").dropDuplicates(["label", "sketch"]), "sample")
+    texts = work.table(texts.mapInArrow(tidy(sketched), "label int, sketch long, text string").dropDuplicates(["label", "sketch"]), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
             names=["word", "clean", "toxic"],
         )
 
-    sums = texts.mapInArrow(count, "word string, clean long, toxic long").groupBy("word")
+    sums = texts.mapInArrow(tidy(count), "word string, clean long, toxic long").groupBy("word")
     sums = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = sums.agg(F.sum("clean"), F.sum("toxic")).first()
     rows = sums.where(F.col("toxic") > 0).collect()  # at most the words of the sample's toxic rows
@@ -205,7 +205,7 @@ def apply(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            for part in slices(batch, limit=4 << 20):
+            for part in slices(batch):
                 raw, spans = [], []
                 for text in part.column("text").to_pylist():
                     tokens = words(text)
@@ -216,4 +216,4 @@ def apply(texts: DataFrame, model: Model) -> DataFrame:
                     [part.column("doc_id"), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"]
                 )
 
-    return texts.mapInArrow(run, "doc_id long, score double, passages array<struct<first: int, last: int, score: double>>")
+    return texts.mapInArrow(tidy(run), "doc_id long, score double, passages array<struct<first: int, last: int, score: double>>")
