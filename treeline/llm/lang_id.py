@@ -74,7 +74,14 @@ def train(docs: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # Rows far from the smallest hashes go before the window, so no language's rows meet in one task.
+    places = 1 << 40
+    counts_ = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    if not counts_:
+        return {}
+    shares = [F.lit(x) for k, n in counts_.items() for x in (k, int(places * min(1.0, (2 * sample + 200) / n)))]
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(places))).where(F.col("place") <= F.element_at(F.create_map(*shares), F.col("lang")))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     chosen = rows.withColumn("nth", nth).where(F.col("nth") <= sample).select("doc_id", "lang").distinct()
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].alias("lang"), docs["text"].alias("text"))
     texts = texts.where(F.col("text").isNotNull())
