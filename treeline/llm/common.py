@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows per Arrow batch, where the session has not set its own: rows here hold whole texts and sets.
+BATCH_ROWS = 1000
 #: Bytes of text handled at once inside a Python task.
 SLICE_BYTES = 1 << 20
 
@@ -27,6 +29,8 @@ class Workspace:
             import tempfile
 
             root = f"file://{tempfile.gettempdir()}/treeline-checkpoints"
+        if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         self.spark = spark
         self.path = f"{root.rstrip('/')}/treeline-{name}-{uuid.uuid4().hex}"
         self._at = sc._jvm.org.apache.hadoop.fs.Path
