@@ -141,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(got, pa.int64()), b.column("text")], names=["label", "sketch", "text"])
 
     # One text speaks for its copies: else the words of a copied text pass for evidence.
-    texts = work.table(texts.mapInArrow(tidy(sketched), "label int, sketch long, text string").dropDuplicates(["label", "sketch"]), "sample")
+    sketches = texts.mapInArrow(tidy(sketched), "label int, sketch long, text string").groupBy("label", "sketch")
+    texts = work.table(sketches.agg(F.min("text").alias("text")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
@@ -157,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
     sums = texts.mapInArrow(tidy(count), "word string, clean long, toxic long").groupBy("word")
     sums = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = sums.agg(F.sum("clean"), F.sum("toxic")).first()
-    rows = sums.where(F.col("toxic") > 0).collect()  # at most the words of the sample's toxic rows
+    rows = sorted(sums.where(F.col("toxic") > 0).collect())  # at most the words of the sample's toxic rows
     toxic = {r["word"]: r["toxic"] for r in rows}
     clean = {r["word"]: r["clean"] for r in rows}
     clean["\0other"] = (total[0] or 0) - sum(clean.values())
