@@ -144,3 +144,24 @@ def test_top_k_equals_brute_force(spark):
     assert got == want
     assert topk_search.top_k(df.where("vec_id < 3")).count() == 2
     assert topk_search.top_k(df.where("false")).count() == 0
+
+
+def test_calibration_weights_stand_for_rows():
+    """A thinned class with weights has the rates of the whole one."""
+    r = np.random.default_rng(4)
+    label = (r.random(6000) < 0.1).astype(float)
+    scores = np.round(r.normal(label, 1.0), 1)
+    keep = (label == 1) | (np.arange(6000) % 9 == 0)
+    weights = np.where(label == 1, 1.0, (label == 0).sum() / (keep & (label == 0)).sum())[keep]
+    at = np.linspace(-1, 2, 7)
+    whole = calibration.apply(*calibration.isotonic(scores, label, 64), at)
+    part = calibration.apply(*calibration.isotonic(scores[keep], label[keep], 64, weights=weights), at)
+    assert np.abs(whole - part).max() < 0.1
+
+
+def test_toxicity_keeps_the_base_rate_where_the_sample_is_capped(spark):
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(20)) for _ in range(800)]
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
+    got = toxicity.scan(frame(spark, texts), labels, sample=30).collect()
+    assert abs(np.mean([x.score for x in got]) - 0.1) < 0.05 and not any(x.predicted for x in got)

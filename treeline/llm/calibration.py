@@ -20,20 +20,26 @@ def pav(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
 
 
-def isotonic(scores: np.ndarray, labels: np.ndarray, bins: int = 512, prior: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a calibration curve from quantile bins of scores; each bin is shrunk to the base rate."""
+def isotonic(
+    scores: np.ndarray, labels: np.ndarray, bins: int = 512, prior: float = 1.0, weights: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a calibration curve from quantile bins of scores; each bin is shrunk to the base rate. A row
+    counts with its weight in every rate, and as one row where a bin is held against the prior."""
     if not len(scores):
         return np.array([0.0]), np.array([0.0])
+    weights = np.ones(len(scores)) if weights is None else weights
     edges = np.unique(np.quantile(scores, np.linspace(0, 1, bins + 1)))
     at = np.clip(np.searchsorted(edges, scores, side="right") - 1, 0, max(0, len(edges) - 2))
-    n = np.bincount(at, minlength=len(edges)).astype(float)
-    hit = np.bincount(at, labels, minlength=len(edges))
-    mid = np.bincount(at, scores, minlength=len(edges)) / np.maximum(n, 1)
-    x, y = pav(mid, hit / np.maximum(n, 1), n)
-    base = float(np.mean(labels))
-    weight = np.array([n[(mid >= a) & (n > 0)].sum() for a in x])
-    weight = np.maximum(weight - np.r_[weight[1:], 0], 1)
-    return x, np.clip((y * weight + prior * base) / (weight + prior), 0, 1)
+    rows = np.bincount(at, minlength=len(edges)).astype(float)
+    n = np.bincount(at, weights, minlength=len(edges))
+    hit = np.bincount(at, labels * weights, minlength=len(edges))
+    some = np.where(rows > 0, n, 1.0)
+    mid = np.bincount(at, scores * weights, minlength=len(edges)) / some
+    x, y = pav(mid, hit / some, n)
+    base = float(np.average(labels, weights=weights))
+    seen = np.array([rows[(mid >= a) & (rows > 0)].sum() for a in x])
+    seen = np.maximum(seen - np.r_[seen[1:], 0], 1)
+    return x, np.clip((y * seen + prior * base) / (seen + prior), 0, 1)
 
 
 def apply(x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> np.ndarray:

@@ -92,10 +92,15 @@ def tidy(run):
 def bounded_labels(
     docs: DataFrame, labels: DataFrame, target: str, modulus: int, held: int, limit: int
 ) -> DataFrame:
-    """(doc_id, label) of a bounded training sample: of the rows that may be learned from, the limit
-    smallest by hash of the id, per label value. The bound keeps training cost constant at any size."""
+    """(doc_id, label, weight) of a bounded training sample: of the rows that may be learned from, the limit
+    smallest by hash of the id, per label value. The bound keeps training cost constant at any size; a row
+    weighs as many learnable rows of its label as it stands for, so a sample keeps the mix of all rows."""
     rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[target].cast("int").alias("label"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc_id"), modulus) != held))
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"))
-    parts = [rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit) for v in (0, 1)]
+    many = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    parts = [
+        rows.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumn("weight", F.lit(max(1.0, many.get(v, 0) / limit)))
+        for v in (0, 1)
+    ]
     return parts[0].unionByName(parts[1])

@@ -133,16 +133,16 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
     """Learn from the bounded sample of labelled rows; word counts are summed in Spark."""
     work = Workspace(docs.sparkSession, "toxicity")
     chosen = bounded_labels(docs, labels, "toxic", modulus, held, sample)
-    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").select("label", "text")  # chosen: the sample's ids
+    texts = id_text(docs).join(F.broadcast(chosen), "doc_id").select("label", "weight", "text")  # chosen: the sample's ids
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sketch(words(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(got, pa.int64()), b.column("text")], names=["label", "sketch", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("weight"), pa.array(got, pa.int64()), b.column("text")], names=["label", "weight", "sketch", "text"])
 
-    # One text speaks for its copies: else the words of a copied text pass for evidence.
-    sketches = texts.mapInArrow(tidy(sketched), "label int, sketch long, text string").groupBy("label", "sketch")
-    texts = work.table(sketches.agg(F.min("text").alias("text")), "sample")
+    # One text speaks for its copies: else the words of a copied text pass for evidence. It takes their weight.
+    sketches = texts.mapInArrow(tidy(sketched), "label int, weight double, sketch long, text string").groupBy("label", "sketch")
+    texts = work.table(sketches.agg(F.min("text").alias("text"), F.sum("weight").alias("weight")), "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = (Counter(), Counter())
@@ -171,11 +171,11 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [model.passages(words(t))[1] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column("label")], names=["raw", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
 
-    scored = texts.mapInArrow(evidence, "raw double, label int").collect()  # bounded by the sample
+    scored = texts.mapInArrow(evidence, "raw double, label int, weight double").collect()  # bounded by the sample
     raw, label = np.array([r["raw"] for r in scored]), np.array([r["label"] for r in scored], float)
-    model.knots = calibration.isotonic(raw, label, bins=64)
+    model.knots = calibration.isotonic(raw, label, bins=64, weights=np.array([r["weight"] for r in scored]))
     return model
 
 
