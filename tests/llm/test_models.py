@@ -165,3 +165,9 @@ def test_toxicity_keeps_the_base_rate_where_the_sample_is_capped(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
     got = toxicity.scan(frame(spark, texts), labels, sample=30).collect()
     assert abs(np.mean([x.score for x in got]) - 0.1) < 0.05 and not any(x.predicted for x in got)
+
+
+def test_quality_keeps_the_base_rate_where_the_sample_is_capped(spark):
+    labels = spark.createDataFrame([(i, int(i % 10 != 0), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = quality.score(frame(spark, ["the same text in every row"] * 600), labels, sample=20).collect()
+    assert abs(np.mean([x.score for x in got]) - 0.9) < 0.1, sorted({x.score for x in got})

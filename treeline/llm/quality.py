@@ -126,40 +126,42 @@ class Model:
 
 
 def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over partitions of f(stats, labels), a vector of a fixed size; added up in the driver."""
+    """Sum over partitions of f(stats, labels, weights), a vector of a fixed size; added up in the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 stats = np.array(b.column("stats").flatten()).reshape(b.num_rows, -1)
-                total += f(stats, np.array(b.column("label"), float))
+                total += f(stats, np.array(b.column("label"), float), np.array(b.column("weight"), float))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
     return sum((np.array(r["v"]) for r in rows.mapInArrow(run, "v array<double>").collect()), np.zeros(size))
 
 
 def train(stats: DataFrame, labelled: DataFrame, partitions: int = 6) -> Model:
-    """Fit on stats (doc_id, stats) of the bounded sample labelled (doc_id, label)."""
-    rows = stats.join(F.broadcast(labelled), "doc_id").select("stats", "label").coalesce(partitions)
+    """Fit on stats (doc_id, stats) of the bounded sample labelled (doc_id, label, weight); all sums are weighted,
+    so the mix of labels is that of all rows."""
+    rows = stats.join(F.broadcast(labelled), "doc_id").select("stats", "label", "weight").coalesce(partitions)
     k = len(STATS)
-    s = _summed(rows, lambda x, y: np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]]), 2 * k + 1)
+    s = _summed(rows, lambda x, y, w: np.concatenate([w @ x, w @ (x * x), [w.sum()]]), 2 * k + 1)
     n = max(1.0, s[-1])
     mean = s[:k] / n
     scale = np.sqrt(np.maximum(s[k : 2 * k] / n - mean**2, 0)) + 1e-6
     size = FEATURES + k + 1
     model = Model(mean, scale, np.zeros(size), (np.array([0.0]), np.array([0.0])))
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
         z = model.features(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y, [len(y), y.sum()]])
+        zw = z.T * w
+        return np.concatenate([(zw @ z).ravel(), zw @ y, [w.sum(), w @ y]])
 
     a = _summed(rows, normal, size * size + size + 2)
     gram, right, n = a[: size * size].reshape(size, size), a[size * size : -2], max(1.0, a[-2])
     model.weights = np.linalg.solve(gram / n + RIDGE / 100 * np.eye(size), right / n)
-    scored = rows.mapInArrow(_scorer(model), "raw double, label int").collect()  # bounded by the sample
+    scored = rows.mapInArrow(_scorer(model), "raw double, label int, weight double").collect()  # bounded by the sample
     raw, label = np.array([r["raw"] for r in scored]), np.array([r["label"] for r in scored], float)
-    model.knots = calibration.isotonic(raw, label)
+    model.knots = calibration.isotonic(raw, label, weights=np.array([r["weight"] for r in scored]))
     return model
 
 
@@ -168,7 +170,7 @@ def _scorer(model: Model):
         for b in batches:
             if b.num_rows:
                 stats = np.array(b.column("stats").flatten()).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(model.raw(stats)), b.column("label")], names=["raw", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(model.raw(stats)), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
 
     return run
 
