@@ -162,7 +162,7 @@ def _(t):
 @query("doc_score", {"d": "documents", "asked": S.QUESTIONS}, f"""WITH {_bm25_sql('SELECT * FROM asked WHERE id = 0')}
     SELECT source AS doc_id, round(sum(score) / sqrt(count(*) + 1), 9) AS doc_score, count(*) AS n_chunks FROM s JOIN documents USING (doc_id) GROUP BY source""")
 def _(d, q):
-    scored = search.search(d.select("doc_id", "text"), ["doc_id"], ["text"], q.where("id = 0"), "id", "question", 10**6)
+    scored = search.bm25(d.select("doc_id", "text"), ["doc_id"], ["text"], q.where("id = 0"), "id", "question").withColumn("score", F.round("score", 9))
     rows = scored.join(d.select("doc_id", "source"), "doc_id").select(F.col("source").alias("doc_id"), "score")
     return search.doc_scores(rows)
 
