@@ -98,3 +98,13 @@ def test_components_of_long_paths(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"), "x").collect()
     labels = {r.node: r.label for r in got}
     assert len({labels[i] for i in range(41)}) == 1 and labels[100] == labels[102] != labels[0] and len(labels) == 44
+
+
+@pytest.mark.parametrize("words", [4, 5])
+@pytest.mark.parametrize("n", [1, 2, 3])
+def test_a_slice_of_one_short_text(words, n):
+    """Fewer words in all than a shingle has: the text is one element, as beside other texts."""
+    text = " ".join("abc"[:n])
+    doc, h = jaccard.shingle_sets([text], words)
+    at, beside = jaccard.shingle_sets([text, "one two three four five six"], words)
+    assert doc.tolist() == [0] and h.tolist() == beside[at == 0].tolist()

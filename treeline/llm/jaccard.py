@@ -72,7 +72,7 @@ def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(total, np.uint64)
     for i in range(words):
         part = np.zeros(total, np.uint64)
-        part[: total - i] = w[i:] if i else w
+        part[: max(0, total - i)] = w[i:]
         h = _mix(h * _P + part)
     whole = np.arange(total) + words <= ends[doc]
     doc, h = doc[whole], h[whole]
