@@ -89,7 +89,8 @@ def test_similar_sets_share_a_signature(n):
 def test_sketch_distance_is_a_lower_bound():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 2**63, 900, dtype=np.uint64), r.integers(0, 2**63, 30, dtype=np.uint64)
-    s = jaccard.sketches(np.r_[np.zeros(900, int), np.ones(880, int)], np.r_[a, a[50:], b], 2).astype(int)
+    cells, at = jaccard.sketches(np.r_[np.zeros(900, int), np.ones(880, int)], np.r_[a, a[50:], b], np.array([900, 880]))
+    s = jaccard.folded(cells, at, np.arange(2), 64).astype(int)
     assert abs(s[0] - s[1]).sum() <= 80
 
 
@@ -108,3 +109,67 @@ def test_a_slice_of_one_short_text(words, n):
     doc, h = jaccard.shingle_sets([text], words)
     at, beside = jaccard.shingle_sets([text, "one two three four five six"], words)
     assert doc.tolist() == [0] and h.tolist() == beside[at == 0].tolist()
+
+
+def test_triples_whose_ends_meet_only_in_the_middle(spark):
+    """A base, the base without its first 6-13 % of words, and the base with as many new words appended: a bucket's
+    centre that nobody voted for must still meet the other components."""
+    r = random.Random(11)
+    rows = []
+    for g in range(600):
+        n = r.randrange(60, 420)
+        base = [f"g{g}w{r.randrange(5000)}" for _ in range(n)]
+        cut = int(n * r.uniform(0.06, 0.13))
+        for w in (base, base[cut:], base + [f"n{g}x{i}" for i in range(cut)]):
+            rows.append((len(rows), " ".join(w)))
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    docs = spark.createDataFrame([(d, rows[d][1], 1, "") for d in order], DOCS).repartition(4)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.join(docs, 4, 85, 100).collect()}
+    for g in range(0, len(rows), 3):
+        want = brute(rows[g : g + 3], 4, 85, 100)  # words of different groups differ
+        assert [(d, *got[d]) for d in range(g, g + 3)] == want
+
+
+def test_chain_over_bands_and_large_group_of_unlinked_copies(spark):
+    """A chain that grows by a tenth at each step runs over many size bands; copies with a fifth of their words
+    changed each share buckets without being linked."""
+    r = random.Random(12)
+    chain, rows = [f"c{i}" for i in range(40)], []
+    while len(chain) < 700:
+        rows.append((len(rows), " ".join(chain)))
+        chain = chain + [f"c{len(chain) + i}" for i in range(max(1, len(chain) // 10))]
+    base = [f"b{i}" for i in range(150)]
+    for _ in range(250):
+        w = list(base)
+        for i in r.sample(range(150), r.choice([3, 6, 9, 12])):
+            w[i] = f"x{r.randrange(10**9)}"
+        rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame([(d, t, 1, "") for d, t in rows], DOCS).repartition(3)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard.join(docs, 4, 85, 100).collect())
+    assert got == brute(rows, 4, 85, 100)
+
+
+def test_allowed_pairs_hold_every_link_and_few_others():
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 600).astype(np.uint64)
+    sets = [np.unique(np.r_[base[r.random(600) > s], r.integers(0, 2**63, int(600 * s)).astype(np.uint64)]) for s in r.uniform(0, 0.3, 80)]
+    doc, h = np.repeat(np.arange(80), [len(x) for x in sets]), np.concatenate(sets)
+    size = np.array([len(x) for x in sets])
+    cells, at = jaccard.sketches(doc, h, size)
+    sketch = pa.array([cells[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary())
+    t = pa.table({"side": np.zeros(80, np.int64), "same": [True] * 80, "label": np.arange(80), "n": size, "sketch": sketch})
+    left, right, _ = jaccard.allowed(t, np.array([0]), 1 << 30, 85, 100)
+    got = set(zip(left.tolist(), right.tolist()))
+    true = {(i, j) for i in range(80) for j in range(i + 1, 80) if jaccard._linked(sets[i].tobytes(), sets[j].tobytes(), 85, 100)}
+    assert true <= got and true and len(got) < 2 * len(true) + 100
+    few = jaccard.allowed(t, np.array([0]), 1, 85, 100)
+    assert set(zip(few[0].tolist(), few[1].tolist())) <= got and set(few[0]) | set(few[1]) == {x for p in got for x in p}
+
+
+def test_null_id_does_not_speak_for_its_copies(spark):
+    rows = [(None, "a b c d e f g h i j k l m n o p q r s t u v w x y z", 1, ""), (3, "a b c d e f g h i j k l m n o p q r s t u v w x y z", 1, ""), (4, "a b c d e f g h i j k l m n o p q r s t u v w x y z0", 1, "")]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    assert {(x.doc_id, x.component_id) for x in jaccard.join(docs, 4, 85, 100).collect()} == {(None, None), (3, 3), (4, 3)}

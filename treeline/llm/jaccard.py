@@ -13,10 +13,11 @@ are hashes of a set's part in subsets of them:
 Elements found in a large share of a bounded sample of documents are left out of the partitioned domain; the
 bound holds on what remains, so this loses nothing and keeps common passages out of the buckets.
 
-Equal sets are one node (64-bit fingerprint of a set of 64-bit shingle hashes). Buckets never expand into all
-pairs: each node is first checked against one centre, then, while a bucket holds several components,
-nodes are checked against the most alike nodes of other components, by a sketch whose distance bounds the
-true difference from below. The last round checks all pairs that are left, so no link is lost.
+Equal sets are one node (64-bit fingerprint of a set of 64-bit shingle hashes). Each node is first checked against
+one centre. Then, in rounds, while a bucket holds several components, nodes meet the most alike nodes of other
+components there: sizes and sketches bound the true difference of two sets from below, and sets are fetched
+only for pairs these bounds allow. Sketches grow with the sets, so few unlinked pairs get that far. The last round
+takes every pair that the bounds leave between components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -36,8 +37,10 @@ from treeline.llm.components import components
 RATIO = 1.35
 #: Largest k of the two-of-k+2 scheme.
 SMALL_K = 8
-#: Bytes of the sketch that goes with every bucket member, and of the one that pairs are checked by before sets are fetched.
-SKETCH, WIDE = 64, 512
+#: Cells of the sketch that goes with a bucket member: half its set's size or more, as a power of two within these bounds.
+NARROW, WIDE = 64, 1024
+#: Pairs whose sketches are compared at once, and rows of whole buckets taken together.
+STEP, ROWS = 1 << 17, 8192
 #: Common elements: in this share of a sample of so many documents (smallest by hash of the id).
 COMMON_SHARE, COMMON_SAMPLE = 0.05, 2000
 #: Nodes a task checks against one centre, about.
@@ -160,10 +163,23 @@ def signatures(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den:
     return np.concatenate(docs_out), np.concatenate(sigs_out).view(np.int64)
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, n: int, width: int = SKETCH) -> np.ndarray:
-    """Saturated element counts per hash bucket: their distance never exceeds the sets' difference."""
-    cell = doc * width + (_mix(h, 10) % np.uint64(width)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=n * width), 255).astype(np.uint8).reshape(n, width)
+def sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Saturated element counts per hash cell, all documents' in one array, and where each one's begin. Their
+    distance never exceeds the sets' difference; a width divides the next, so wider ones fold into narrower."""
+    width = np.clip(1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64), NARROW, WIDE) * (size > 0)
+    at = np.r_[0, np.cumsum(width)]
+    cell = at[doc] + (_mix(h, 10) % np.maximum(width, 1).astype(np.uint64)[doc]).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=at[-1]), 255).astype(np.uint8), at
+
+
+def folded(cells: np.ndarray, at: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+    """The sketches of rows as a matrix of this width, which theirs reach."""
+    out = np.zeros((len(rows), width), np.int16)
+    wide = at[rows + 1] - at[rows]
+    for w in np.unique(wide):
+        some = np.flatnonzero(wide == w)
+        out[some] = cells[at[rows[some]][:, None] + np.arange(w)].reshape(len(some), w // width, width).sum(1)
+    return out
 
 
 def _common(docs: DataFrame, words: int) -> np.ndarray:
@@ -182,7 +198,7 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """(doc_id, n, fp, sigs) per row; sigs only for the first of equal sets that a task meets."""
+    """(doc_id, n, fp, sigs, sketch) per row; the last two only for the first of equal sets that a task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -192,13 +208,16 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray)
                 doc, h = shingle_sets(texts, words)
                 size, fp = fingerprints(doc, h, len(texts))
                 fresh = np.zeros(len(texts), bool)
+                known = part.column("doc_id").is_valid().to_pylist()
                 for i, f in enumerate(fp.tolist()):
-                    if size[i] and f not in seen:
+                    if size[i] and known[i] and f not in seen:
                         fresh[i] = True
                         seen.add(f)
                 if len(seen) > SEEN:
                     seen.clear()
                 keep = fresh[doc]
+                cells, at = sketches(doc[keep], h[keep], np.where(fresh, size, 0))
+                sketch = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(cells)])
                 if len(common):
                     spot = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     keep &= common[spot] != h
@@ -207,14 +226,15 @@ def _signed(docs: DataFrame, words: int, num: int, den: int, common: np.ndarray)
                 offsets = np.r_[0, np.cumsum(np.bincount(d, minlength=len(texts)))].astype(np.int32)
                 sigs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[order]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(fp), sigs], names=["doc_id", "n", "fp", "sigs"]
+                    [part.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(fp), sigs, sketch],
+                    names=["doc_id", "n", "fp", "sigs", "sketch"],
                 )
 
-    return docs.mapInArrow(tidy(run), "doc_id long, n long, fp long, sigs array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, fp long, sigs array<long>, sketch binary")
 
 
-def _sets(docs: DataFrame, reps: DataFrame, words: int, width: int = SKETCH) -> DataFrame:
-    """(fp, n, elements, sketch) of the representative documents (doc_id)."""
+def _sets(docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(fp, elements) of the representative documents (doc_id)."""
     ids = reps.select("doc_id").distinct()
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
@@ -225,18 +245,11 @@ def _sets(docs: DataFrame, reps: DataFrame, words: int, width: int = SKETCH) ->
                 texts = part.column("text").to_pylist()
                 doc, h = shingle_sets(texts, words)
                 size, fp = fingerprints(doc, h, len(texts))
-                sk, ends = sketches(doc, h, len(texts), width), np.r_[0, np.cumsum(size)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(fp),
-                        pa.array(size.astype(np.int64)),
-                        pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
-                        pa.array([x.tobytes() for x in sk], pa.binary()),
-                    ],
-                    names=["fp", "n", "elements", "sketch"],
-                )
+                ends = np.r_[0, np.cumsum(size)]
+                elements = pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(fp), elements], names=["fp", "elements"])
 
-    return rows.mapInArrow(tidy(run), "fp long, n long, elements binary, sketch binary")
+    return rows.mapInArrow(tidy(run), "fp long, elements binary")
 
 
 def _linked(a: bytes, b: bytes, num: int, den: int) -> bool:
@@ -248,7 +261,7 @@ def _linked(a: bytes, b: bytes, num: int, den: int) -> bool:
 
 
 def _star(stars: DataFrame, sets: DataFrame, num: int, den: int, work: Workspace) -> DataFrame:
-    """Check members (fp) against their centre: (fp, centre, linked, n, sketch); centres come out too, unlinked."""
+    """Check members (fp) against their centre: (fp, centre, linked)."""
     many = stars.groupBy("centre").agg(F.count("*").alias("many"))
     salts = F.ceil(F.col("many") / GROUP).cast("int")
     members = stars.join(many, "centre").select("fp", "centre", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(1).alias("role"))
@@ -262,63 +275,105 @@ def _star(stars: DataFrame, sets: DataFrame, num: int, den: int, work: Workspace
         key, head = None, b""
         for b in batches:
             out = []
-            for fp, n, elements, sketch, centre, salt, role in zip(*(b.column(c).to_pylist() for c in ("fp", "n", "elements", "sketch", "centre", "salt", "role"))):
+            for fp, elements, centre, salt, role in zip(*(b.column(c).to_pylist() for c in ("fp", "elements", "centre", "salt", "role"))):
                 if role == 0:
                     key, head = (centre, salt), elements
-                    out.append((fp, centre, False, n, sketch))
                 else:
                     assert key == (centre, salt)
-                    out.append((fp, centre, _linked(head, elements, num, den), n, sketch))
-            cols = list(zip(*out)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "centre", "linked", "n", "sketch"])
-
-    return rows.select("fp", "n", "elements", "sketch", "centre", "salt", "role").mapInArrow(tidy(run), "fp long, centre long, linked boolean, n long, sketch binary")
+                    out.append((fp, centre, _linked(head, elements, num, den)))
+            cols = list(zip(*out)) or [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fp", "centre", "linked"])
+
+    return rows.select("fp", "elements", "centre", "salt", "role").mapInArrow(tidy(run), "fp long, centre long, linked boolean")
+
+
+def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by keys, some ROWS at a time but never a group divided, with the places where groups begin."""
+
+    def begins(t: pa.Table) -> np.ndarray:
+        new = np.zeros(t.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.Table] = []
+    for b in batches:
+        held.append(pa.Table.from_batches([b]))
+        if sum(t.num_rows for t in held) >= ROWS:
+            t = pa.concat_tables(held)
+            at = begins(t)
+            if len(at) > 1:
+                yield t.slice(0, at[-1]), at[:-1]
+                t = t.slice(at[-1])
+            held = [t]
+    if held and (t := pa.concat_tables(held)).num_rows:
+        yield t, begins(t)
+
+
+def _best(rows: tuple[np.ndarray, np.ndarray, np.ndarray], quota: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs (left, right, distance) those among the quota nearest of either side."""
+    left, right, d = rows
+    if quota >= len(d):
+        return rows
+    node, pair = np.r_[left, right], np.tile(np.arange(len(d)), 2)
+    order = np.lexsort((d[pair], node))
+    node, pair = node[order], pair[order]
+    first = np.r_[True, node[1:] != node[:-1]]
+    rank = np.arange(len(node)) - np.maximum.accumulate(np.where(first, np.arange(len(node)), 0))
+    keep = np.unique(pair[rank < quota])
+    return left[keep], right[keep], d[keep]
+
+
+def allowed(t: pa.Table, at: np.ndarray, quota: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, distance) of rows of one group that sizes and sketches allow to be linked, of unlike labels."""
+    side, same, label, n = (t.column(c).to_numpy() for c in ("side", "same", "label", "n"))
+    sketch = t.column("sketch").combine_chunks()
+    cells = np.frombuffer(b"".join(sketch.to_pylist()), np.uint8)
+    begin = np.r_[0, np.cumsum(np.array(pa.compute.binary_length(sketch), np.int64))]
+    narrow = folded(cells, begin, np.arange(len(n)), NARROW)
+    group = np.searchsorted(at, np.arange(len(n)), side="right") - 1
+    end = np.r_[at[1:], len(n)][group]
+    right_from = end - np.bincount(group, side, minlength=len(at)).astype(np.int64)[group]
+    low = np.where(same, np.arange(len(n)) + 1, np.where(side == 0, right_from, end))
+    many = end - low
+    total = np.r_[0, np.cumsum(many)]
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for start in range(0, int(total[-1]), STEP):
+        nth = np.arange(start, min(start + STEP, int(total[-1])))
+        left = np.searchsorted(total, nth, side="right") - 1
+        right = low[left] + nth - total[left]
+        keep = (label[left] != label[right]) & (den * np.minimum(n[left], n[right]) >= num * np.maximum(n[left], n[right]))
+        left, right = left[keep], right[keep]
+        most = difference(n[left], n[right], num, den)
+        keep = np.abs(narrow[left] - narrow[right]).sum(1, dtype=np.int64) <= most
+        left, right, most = left[keep], right[keep], most[keep]
+        d = np.zeros(len(left))
+        width = np.minimum(np.diff(begin)[left], np.diff(begin)[right])
+        for w in np.unique(width):
+            some = np.flatnonzero(width == w)
+            rows, place = np.unique(np.r_[left[some], right[some]], return_inverse=True)
+            wide = folded(cells, begin, rows, int(w))
+            for i in range(0, len(some), 4096):
+                x, y = place[: len(some)][i : i + 4096], place[len(some) :][i : i + 4096]
+                d[some[i : i + 4096]] = np.abs(wide[x] - wide[y]).sum(1, dtype=np.int64)
+        keep = d <= most
+        out.append(_best((left[keep], right[keep], d[keep] / (n[left] + n[right])[keep]), quota))
+    return _best(tuple(np.concatenate(c) for c in zip(*out)), quota)
 
 
 def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of unlike components within a bucket that the sketch allows, quota per node and bucket.
-    members: (sig, block_a, block_b, fp, label, n, sketch), sorted by bucket; large buckets come as pairs of blocks."""
-
-    def pairs(fp, label, n, sk, block, same):
-        left = np.flatnonzero(block == 0)
-        right = left if same else np.flatnonzero(block == 1)
-        wide = sk[right].astype(np.int16)
-        for i in left:
-            distance = np.abs(wide - sk[i].astype(np.int16)).sum(1)
-            small, big = np.minimum(n[i], n[right]), np.maximum(n[i], n[right])
-            ok = (label[right] != label[i]) & (distance <= difference(n[i], n[right], num, den)) & (den * small >= num * big)
-            found = np.flatnonzero(ok)
-            if len(found) > quota:
-                found = found[np.argsort(distance[found] / (n[i] + n[right][found]), kind="stable")[:quota]]
-            for j in found:
-                yield fp[i], fp[right[j]], float(distance[j] / (n[i] + n[right[j]]))
+    """Pairs (a, b) of unlike components within a bucket that the bounds allow, quota per node and bucket.
+    members: (sig, fp, label, n, sketch); large buckets are dealt as pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-
-        def flush():
-            if not held:
-                return []
-            fp, label, n, block, sketch = zip(*held)
-            sk = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(held), SKETCH)
-            return list(pairs(np.array(fp), np.array(label), np.array(n), sk, np.array(block), key[1] == key[2]))
-
-        def batch_of(rows):
-            cols = list(zip(*rows)) or [[]] * 3
-            a = [min(x, y) for x, y in zip(cols[0], cols[1])]
-            b = [max(x, y) for x, y in zip(cols[0], cols[1])]
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "d"])
-
-        for b in batches:
-            out = []
-            for sig, x, y, side, fp, label, n, sketch in zip(*(b.column(c).to_pylist() for c in ("sig", "x", "y", "side", "fp", "label", "n", "sketch"))):
-                if key != (sig, x, y):
-                    out += flush()
-                    held, key = [], (sig, x, y)
-                held.append((fp, label, n, side, sketch))
-            yield batch_of(out)
-        yield batch_of(flush())
+        for t, at in _whole(batches, ["sig", "x", "y"]):
+            left, right, _ = allowed(t, at, quota, num, den)
+            fp = t.column("fp").to_numpy()
+            pairs = np.unique(np.sort(np.stack([fp[left], fp[right]], 1), 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     block = 2048
     many = members.groupBy("sig").agg(F.count("*").alias("many"))
@@ -328,24 +383,8 @@ def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("sig", "fp", "label", "n", "sketch", "mine", other)
     rows = rows.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "label", "n", "sketch")
-    rows = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-    return rows.mapInArrow(tidy(run), "a long, b long, d double").groupBy("a", "b").agg(F.min("d").alias("d"))
-
-
-def _near(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that wide sketches allow; they go before whole sets travel."""
-    x = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            wide = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1).astype(np.int16)
-            most = difference(np.array(b.column("na")), np.array(b.column("nb")), num, den)
-            yield b.select(["a", "b"]).filter(pa.array(np.abs(wide("sa") - wide("sb")).sum(1) <= most))
-
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(tidy(run), "a long, b long")
+    rows = rows.withColumn("same", F.col("x") == F.col("y")).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "side")
+    return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -377,6 +416,9 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     buckets = linkable.select("fp", F.explode("sigs").alias("sig"))
     centre = F.first("fp").over(Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
     edges = work.table(buckets.withColumn("centre", centre).where("fp <> centre").select("sig", "centre", "fp").distinct(), "edges")
+    nodes = work.table(edges.select("fp").unionByName(edges.select(F.col("centre").alias("fp"))).distinct(), "nodes")
+    info = signed.where(F.length("sketch") > 0).join(nodes, "fp", "left_semi").groupBy("fp")
+    info = work.table(info.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
     signed = work.table(signed.select("doc_id", "n", "fp"), "rows")
     work.forget("signed")
     linkable = signed.where("n > 0 and doc_id is not null")
@@ -384,15 +426,12 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     votes = edges.groupBy("fp", "centre").agg(F.count("*").alias("votes"))
     stars = votes.groupBy("fp").agg(F.max(F.struct("votes", "centre"))["centre"].alias("centre"))
     stars = work.table(stars, "stars")
-    nodes = edges.select("fp").unionByName(edges.select(F.col("centre").alias("fp"))).distinct()
     reps = work.table(linkable.join(nodes, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "reps")
     sets = _sets(texts, reps, words)
     if not stars.isEmpty():
         checked = work.table(_star(stars, sets, num, den, work), "checked")
         links = checked.where("linked").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
-        tried = checked.where("fp <> centre").select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
-        info = checked.groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        info = work.table(info, "info")
+        tried = checked.select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b")).distinct()
         labels = components(links, work, "c0")
         for turn, quota in enumerate(QUOTAS):
             fp_label = labels.select(F.col("node").alias("fp"), "label")
@@ -412,20 +451,19 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
             if fresh.isEmpty():
                 continue
             wanted = fresh.select(F.col("a").alias("fp")).unionByName(fresh.select(F.col("b").alias("fp"))).distinct()
-            some = work.table(_sets(texts, reps.join(wanted, "fp", "left_semi"), words, WIDE), f"sets-{turn}")
+            some = work.table(_sets(texts, reps.join(wanted, "fp", "left_semi"), words), f"sets-{turn}")
             if some.count() > some.select("fp").distinct().count():  # repeated ids
                 some = work.table(some.dropDuplicates(["fp"]), f"single-{turn}")
-            near = work.table(_near(fresh, some, num, den), f"near-{turn}")
-            more = work.table(_pairs(near, some, num, den), f"links-{turn}")
+            more = work.table(_pairs(fresh, some, num, den), f"links-{turn}")
             tried = work.table(tried.unionByName(fresh).distinct(), f"tried-{turn}")
             links = work.table(links.unionByName(more), f"all-{turn}")
-            work.forget(*[f"{t}-{turn}" for t in ("members", "pairs", "sets", "single", "near")])
+            work.forget(*[f"{t}-{turn}" for t in ("members", "pairs", "sets", "single")])
             if not more.isEmpty():
                 labels = components(links, work, f"c{turn + 1}")
         keyed = signed.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
     else:
         keyed = signed.withColumn("label", F.lit(None).cast("long"))
-    work.forget("edges", "stars", "reps", "roles", "checked", "info", *[f"{t}-{i}" for t in ("mixed", "tried", "all", "links") for i in range(len(QUOTAS))])
+    work.forget("edges", "nodes", "stars", "reps", "roles", "checked", "info", *[f"{t}-{i}" for t in ("mixed", "tried", "all", "links") for i in range(len(QUOTAS))])
     keyed = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("key"))
     least = work.table(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "least")
     out = keyed.join(least, "key", "left")
