@@ -11,7 +11,8 @@ chunks are spliced where both agree on a boundary that is proven stable:
 
 So chunk A's tokens up to p and chunk B's tokens from p are the whole text's tokens. A boundary between
 merge tokens inside one pre-token proves nothing, hence only pre-token (word) boundaries count. If the
-overlap holds no common boundary (one endless word), it is doubled until it does or the text ends.
+overlap holds no common boundary, it is doubled until it does; a chunk that holds no boundary at all (one endless
+word) is lengthened fourfold, so such a word is encoded about 4/3 times its length.
 """
 
 from __future__ import annotations
@@ -73,25 +74,26 @@ def resync_ids(tok, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_
     while end < n:
         wide = overlap
         while True:
-            start = max(begin + 1, end - wide)
-            stop = min(n, start + chunk + wide)
-            following = encode(start, stop)
-            mine = {begin + p: i for p, i in _words(current).items() if i >= skip}
-            other = {start + p: i for p, i in _words(following).items() if p > 0}
-            common = [p for p in mine.keys() & other.keys() if start < p <= end - GUARD]
-            if common:
-                break
-            if start == begin + 1:  # no boundary in the whole chunk: lengthen it
-                if end == n:
+            # Proven boundaries of the current chunk beyond the last splice.
+            mine = {begin + p: i for p, i in _words(current).items() if i > skip and 1 < p <= end - begin - GUARD}
+            common: list[int] = []
+            if mine:
+                start = max(begin + 1, max(mine) - wide)
+                stop = min(n, start + chunk + wide)
+                following = encode(start, stop)
+                other = {start + p: i for p, i in _words(following).items() if p > 0}
+                common = [p for p in mine.keys() & other.keys() if start < p <= stop - GUARD or stop == n]
+                if common:
                     break
-                end = min(n, end + chunk)
+            if not mine or start == begin + 1:  # one word over the whole chunk: lengthen it, fourfold
+                end = min(n, begin + 4 * (end - begin))
                 current = encode(begin, end)
                 if end == n:
                     break
             wide *= 2
         if not common:
             break
-        p = min(common)
+        p = max(common)
         ids += current.ids[skip : mine[p]]
         skip, current, begin, end = other[p], following, start, stop
     return ids + current.ids[skip:]
