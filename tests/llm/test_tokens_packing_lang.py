@@ -115,3 +115,56 @@ def test_slices_cover_a_batch():
     b = pa.RecordBatch.from_arrays([pa.array(["x" * n for n in (1, 50, 3, 0, 200, 7)])], names=["text"])
     parts = [p.column(0).to_pylist() for p in slices(b, limit=50)]
     assert sum(parts, []) == b.column(0).to_pylist() and len(parts) > 2
+
+
+def test_endless_word_is_encoded_about_once():
+    class Counting:
+        def __init__(self, tok):
+            self.tok, self.chars = tok, 0
+
+        def encode(self, text, **more):
+            self.chars += len(text)
+            return self.tok.encode(text, **more)
+
+    r = random.Random(4)
+    word = "".join(r.choice("abcdefghij") for _ in range(200_000))
+    tok = Counting(token_count.tokenizer("byte_bpe_50k.json"))
+    for text in (word, "a few words " * 300 + word + " and some more" * 300):
+        tok.chars = 0
+        assert token_count.resync_ids(tok, text, chunk=2000) == library("byte_bpe_50k.json", [text])[0]
+        assert tok.chars < 3 * len(text)
+
+
+def test_text_beyond_a_chunk_through_the_operator(spark):
+    texts = ["ab cd, " * 12_000, "x" * 70_000, None]
+    got = {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(3)] == [len(x) for x in library("byte_bpe_50k.json", texts)]
+
+
+def test_word_ids_equal_the_library_for_all_letters_and_random_texts():
+    tok = token_count.tokenizer("word_bpe_49k.json")
+    ids = packing.WordIds(tok)
+    whole = lambda t: np.asarray(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = [chr(c) for c in range(0xA1, 0x250)]
+    for c in letters:
+        texts = ["Plain english words are here, and more of them.", c, f"x {c}! y", f"{c}.{c}", f"ab{c}cd 12{c}"]
+        assert ids.texts(texts) == list(map(whole, texts))
+    r = random.Random(2)
+    parts = letters + list("abc XYZ  '\n\t.,;!?012<|>sdm") + ["'s", "'ll", "word", "The", "<|endoftext|>", "é", "日本", "Å", "K", "İ", "\x0b", "\xa0"]
+    for _ in range(250):
+        texts = ["plain words"] + ["".join(r.choice(parts) for _ in range(r.randrange(60))) for _ in range(40)]
+        assert ids.texts(texts) == list(map(whole, texts))
+
+
+def test_a_piece_the_library_divides_is_not_known(monkeypatch):
+    tok = token_count.tokenizer("word_bpe_49k.json")
+    ids = packing.WordIds(tok)
+    ids._learn(["plain", "a-b", "words"])  # not a piece of the vocabulary's own
+    assert ids["a-b"] is None and ids["plain"] and ids["words"]
+    assert ids._ids("plain a-b", ["plain", "a-b"]) == ids.library("plain a-b")
+
+
+def test_packing_repeated_null_ids(spark):
+    rows = [(None, "one two", "en", "", 1), (None, "one two", "en", "", 1), (None, None, None, None, None)]
+    out = packing.pack(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(r.length for r in out) == [1, 3, 3] and {r.sequence_id for r in out} == {out[0].sequence_id}

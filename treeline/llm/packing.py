@@ -26,50 +26,82 @@ END_ID = 1
 #: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
 CACHE_PIECES = 350_000
 
-PIECES = 600_000
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
 # The pieces into which the vocabulary's own pre-tokeniser cuts. Its pattern for lower-case Latin
-# text. Texts with other characters, or with what may be a special string, go to the library whole.
+# text. Texts that hold other characters, in lower case or as they stand, or what may be a special string go to the
+# library whole.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_DIGITS}{_LETTERS}]+").findall
 _OTHER = re.compile(r"[^ -~\n\r\t¡-ÖØ-öø-įı-ɏ]|<\|").search
 
 
+def _spans(encoding) -> list[tuple[int, int, int, int]]:
+    """(first token, end token, first character, end character) of every word of an encoding."""
+    out: list[tuple[int, int, int, int]] = []
+    last = None
+    for i, (word, (begin, end)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
+        if word == last:
+            out[-1] = (out[-1][0], i + 1, out[-1][2], end)
+        else:
+            out.append((i, i + 1, begin, end))
+            last = word
+    return out
+
+
 class WordIds(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes; texts() gives those of whole texts.
 
     The vocabulary drops white space, lower-cases and merges within pieces only, so a text's ids are those of
     its pieces in order. Pieces repeat far more than texts: the first CACHE_PIECES met are kept, others
-    as long as a slice of texts needs them.
+    as long as a slice of texts needs them. A piece counts as known only if the library, too, took it for one word;
+    a text with any other piece goes to the library whole.
     """
 
     def __init__(self, tok):
         super().__init__()
         self.tok, self.passing = tok, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: str) -> bytes | None:
         return self.passing[piece]
 
     def library(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        """New pieces are encoded together: apart by blanks, each is a word of its own."""
+        """New pieces are encoded together, apart by blanks. Where the library's words don't lie exactly on
+        the pieces, halves are tried apart, down to single pieces, which then aren't known (None)."""
         e = self.tok.encode(" ".join(new), add_special_tokens=False)
-        ids = np.asarray(e.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(np.asarray(e.word_ids), np.arange(len(new) + 1))).tolist()
+        spans = _spans(e)
+        begins = np.r_[0, np.cumsum([len(p) + 1 for p in new])]
+        if [(x[2], x[3]) for x in spans] == [(int(a), int(b) - 1) for a, b in zip(begins, begins[1:])]:
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            found: list = [ids[4 * x[0] : 4 * x[1]] for x in spans]
+        elif len(new) == 1:
+            found = [None]
+        else:
+            self._learn(new[: len(new) // 2])
+            self._learn(new[len(new) // 2 :])
+            return
         into = self if len(self) + len(new) <= CACHE_PIECES else self.passing
-        into.update(zip(new, (ids[a:b] for a, b in zip(ends, ends[1:]))))
+        into.update(zip(new, found))
+
+    def _ids(self, text: str, cut: list[str] | None) -> bytes:
+        try:
+            return self.library(text) if cut is None else b"".join(map(self.__getitem__, cut))
+        except TypeError:  # a piece that isn't known
+            return self.library(text)
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _OTHER(t) else _CUT(t.lower()) for t in texts]
+        cut = []
+        for t in texts:
+            low = t.lower()
+            cut.append(None if _OTHER(low) or not t.isascii() and _OTHER(t) else _CUT(low))
         self.passing = {}
         if new := [p for p in set().union(*filter(None, cut)) if p not in self]:
             self._learn(new)
-        return [self.library(t) if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, cut)]
+        return list(map(self._ids, texts, cut))
 
 
 _WORD_IDS: dict[str, WordIds] = {}
