@@ -13,8 +13,10 @@ are hashes of a set's part in subsets of them:
 Elements found in a large share of a bounded sample of documents are left out of the partitioned domain; the
 bound holds on what remains, so this loses nothing and keeps common passages out of the buckets.
 
-Equal sets are one node (64-bit fingerprint of a set of 64-bit shingle hashes). Each node is first checked against
-one centre. Then, in rounds, while a bucket holds several components, nodes meet the most alike nodes of other
+Equal sets are one node (64-bit fingerprint of a set of 64-bit shingle hashes). A bucket's centre is its smallest
+node, and the buckets of one centre are one group: nodes that share a signature share a group, and a node is in a
+group once, however many signatures led it there. Each node is first checked against the centre it shares most
+signatures with. Then, in rounds, while a group holds several components, nodes meet the most alike nodes of other
 components there: sizes and sketches bound the true difference of two sets from below, and sets are fetched
 only for pairs these bounds allow. Sketches grow with the sets, so few unlinked pairs get that far. The last round
 takes every pair that the bounds leave between components, so no link is lost.
@@ -37,14 +39,16 @@ from treeline.llm.components import components
 RATIO = 1.35
 #: Largest k of the two-of-k+2 scheme.
 SMALL_K = 8
-#: Cells of the sketch that goes with a bucket member: half its set's size or more, as a power of two within these bounds.
+#: Cells of the sketch that goes with a group member: half its set's size or more, as a power of two within these bounds.
 NARROW, WIDE = 64, 1024
-#: Pairs whose sketches are compared at once, and rows of whole buckets taken together.
+#: Pairs whose sketches are compared at once, and rows of whole groups taken together.
 STEP, ROWS = 1 << 17, 8192
 #: Common elements: in this share of a sample of so many documents (smallest by hash of the id).
 COMMON_SHARE, COMMON_SAMPLE = 0.05, 2000
 #: Nodes a task checks against one centre, about.
-GROUP = 1000
+GROUP = 128
+#: Nodes of a group that a task compares with as many others, about.
+BLOCK = 1024
 #: Partners per node tried in each round; the last number means all.
 QUOTAS = (1, 8, 1 << 30)
 #: Representative ids up to which they are broadcast (8 bytes each).
@@ -365,25 +369,25 @@ def allowed(t: pa.Table, at: np.ndarray, quota: int, num: int, den: int) -> tupl
 
 
 def _alike(members: DataFrame, quota: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of unlike components within a bucket that the bounds allow, quota per node and bucket.
-    members: (sig, fp, label, n, sketch); large buckets are dealt as pairs of blocks."""
+    """Pairs (a, b) of unlike components within a group that the bounds allow, quota per node and group.
+    members: (centre, fp, label, n, sketch); large groups are dealt as pairs of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _whole(batches, ["sig", "x", "y"]):
+        for t, at in _whole(batches, ["centre", "x", "y"]):
             left, right, _ = allowed(t, at, quota, num, den)
             fp = t.column("fp").to_numpy()
             pairs = np.unique(np.sort(np.stack([fp[left], fp[right]], 1), 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    block = 2048
-    many = members.groupBy("sig").agg(F.count("*").alias("many"))
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    rows = members.join(many, "sig").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("blocks")).cast("int"))
+    many = members.groupBy("centre").agg(F.count("*").alias("many"))
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    rows = members.join(many, "centre").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp", F.lit(9)), F.col("blocks")).cast("int"))
     # Block i meets every block j >= i: as the left side of (i, j), as the right side of (j, i) otherwise.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("sig", "fp", "label", "n", "sketch", "mine", other)
-    rows = rows.select("sig", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "fp", "label", "n", "sketch")
-    rows = rows.withColumn("same", F.col("x") == F.col("y")).repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y", "side")
+    rows = rows.select("centre", "fp", "label", "n", "sketch", "mine", other)
+    x, y, side = F.least("mine", "other"), F.greatest("mine", "other"), (F.col("mine") > F.col("other")).cast("int")
+    rows = rows.select("centre", x.alias("x"), y.alias("y"), side.alias("side"), (x == y).alias("same"), "fp", "label", "n", "sketch")
+    rows = rows.repartition("centre", "x", "y").sortWithinPartitions("centre", "x", "y", "side")
     return rows.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
@@ -415,16 +419,16 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     linkable = signed.where("n > 0 and doc_id is not null")
     buckets = linkable.select("fp", F.explode("sigs").alias("sig"))
     centre = F.first("fp").over(Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
-    edges = work.table(buckets.withColumn("centre", centre).where("fp <> centre").select("sig", "centre", "fp").distinct(), "edges")
-    nodes = work.table(edges.select("fp").unionByName(edges.select(F.col("centre").alias("fp"))).distinct(), "nodes")
+    shared = buckets.withColumn("centre", centre).where("fp <> centre").groupBy("fp", "centre")
+    shared = work.table(shared.agg(F.count("*").alias("votes")), "shared")
+    nodes = work.table(shared.select("fp").unionByName(shared.select(F.col("centre").alias("fp"))).distinct(), "nodes")
     info = signed.where(F.length("sketch") > 0).join(nodes, "fp", "left_semi").groupBy("fp")
     info = work.table(info.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
     signed = work.table(signed.select("doc_id", "n", "fp"), "rows")
     work.forget("signed")
     linkable = signed.where("n > 0 and doc_id is not null")
     # Each node's first check: the centre it shares most buckets with.
-    votes = edges.groupBy("fp", "centre").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("fp").agg(F.max(F.struct("votes", "centre"))["centre"].alias("centre"))
+    stars = shared.groupBy("fp").agg(F.max(F.struct("votes", "centre"))["centre"].alias("centre"))
     stars = work.table(stars, "stars")
     reps = work.table(linkable.join(nodes, "fp").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "reps")
     sets = _sets(texts, reps, words)
@@ -435,14 +439,14 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
         labels = components(links, work, "c0")
         for turn, quota in enumerate(QUOTAS):
             fp_label = labels.select(F.col("node").alias("fp"), "label")
-            edges = edges.select("sig", "centre", "fp")
-            known = edges.join(fp_label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+            known = shared.select("centre", "fp").join(fp_label, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
             centres = fp_label.select(F.col("fp").alias("centre"), F.col("label").alias("of_centre"))
             known = known.join(centres, "centre", "left").withColumn("of_centre", F.coalesce("of_centre", "centre"))
-            split = known.where("label <> of_centre").select("sig").distinct()
-            # Components only grow, so other buckets never matter again.
-            edges = mixed = work.table(known.join(split, "sig", "left_semi"), f"mixed-{turn}")
-            members = mixed.select("sig", "fp", "label").unionByName(mixed.select("sig", F.col("centre").alias("fp"), F.col("of_centre").alias("label"))).distinct()
+            split = known.where("label <> of_centre").select("centre").distinct()
+            # Components only grow, so other groups never matter again.
+            shared = work.table(known.join(split, "centre", "left_semi"), f"mixed-{turn}")
+            heads = shared.select("centre", F.col("centre").alias("fp"), F.col("of_centre").alias("label")).distinct()
+            members = shared.select("centre", "fp", "label").unionByName(heads)
             members = work.table(members.join(info, "fp"), f"members-{turn}")
             if members.isEmpty():
                 break
@@ -463,7 +467,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
         keyed = signed.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left")
     else:
         keyed = signed.withColumn("label", F.lit(None).cast("long"))
-    work.forget("edges", "nodes", "stars", "reps", "roles", "checked", "info", *[f"{t}-{i}" for t in ("mixed", "tried", "all", "links") for i in range(len(QUOTAS))])
+    work.forget("shared", "nodes", "stars", "reps", "roles", "checked", "info", *[f"{t}-{i}" for t in ("mixed", "tried", "all", "links") for i in range(len(QUOTAS))])
     keyed = keyed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "fp")).alias("key"))
     least = work.table(keyed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least")), "least")
     out = keyed.join(least, "key", "left")
