@@ -5,26 +5,32 @@ from __future__ import annotations
 import numpy as np
 
 
-def pav(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: block positions (weighted mean x) and non-decreasing block values."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []
-    for i in order:
+def pooled(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> list[tuple[list[int], float]]:
+    """Pool adjacent violators: (members, weighted mean of y) of blocks with non-decreasing values, by x."""
+    blocks: list[tuple[list[int], float, float]] = []
+    for i in np.argsort(x, kind="stable").tolist():
         if w[i] <= 0:
             continue
-        blocks.append([float(w[i]), float(w[i] * y[i]), float(w[i] * x[i])])
-        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+        now = ([i], float(w[i]), float(w[i] * y[i]))
+        while blocks and blocks[-1][2] * now[1] >= now[2] * blocks[-1][1]:
             last = blocks.pop()
-            for k in range(3):
-                blocks[-1][k] += last[k]
-    return np.array([b[2] / b[0] for b in blocks]), np.array([b[1] / b[0] for b in blocks])
+            now = (last[0] + now[0], last[1] + now[1], last[2] + now[2])
+        blocks.append(now)
+    return [(i, s / n) for i, n, s in blocks]
+
+
+def pav(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block positions (weighted mean x) and non-decreasing block values."""
+    blocks = pooled(x, y, w)
+    return np.array([np.average(x[i], weights=w[i]) for i, _ in blocks]), np.array([v for _, v in blocks])
 
 
 def isotonic(
     scores: np.ndarray, labels: np.ndarray, bins: int = 512, prior: float = 1.0, weights: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of a calibration curve from quantile bins of scores; each bin is shrunk to the base rate. A row
-    counts with its weight in every rate, and as one row where a bin is held against the prior."""
+    """Knots of a calibration curve from quantile bins of scores. Each block of pooled bins is shrunk to the base
+    rate and has a knot at its first and at its last bin, so the curve is flat within blocks. A row counts with
+    its weight in every rate, and as one row where a block is held against the prior."""
     if not len(scores):
         return np.array([0.0]), np.array([0.0])
     weights = np.ones(len(scores)) if weights is None else weights
@@ -35,11 +41,15 @@ def isotonic(
     hit = np.bincount(at, labels * weights, minlength=len(edges))
     some = np.where(rows > 0, n, 1.0)
     mid = np.bincount(at, scores * weights, minlength=len(edges)) / some
-    x, y = pav(mid, hit / some, n)
     base = float(np.average(labels, weights=weights))
-    seen = np.array([rows[(mid >= a) & (rows > 0)].sum() for a in x])
-    seen = np.maximum(seen - np.r_[seen[1:], 0], 1)
-    return x, np.clip((y * seen + prior * base) / (seen + prior), 0, 1)
+    x, y = [], []
+    for members, value in pooled(mid, hit / some, n):
+        seen = rows[members].sum()
+        shrunk = (value * seen + prior * base) / (seen + prior)
+        for place in dict.fromkeys((mid[members[0]], mid[members[-1]])):
+            x.append(float(place))
+            y.append(float(np.clip(shrunk, 0, 1)))
+    return np.array(x), np.maximum.accumulate(np.array(y))
 
 
 def apply(x: np.ndarray, y: np.ndarray, scores: np.ndarray) -> np.ndarray:

@@ -1,18 +1,22 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Token weights are log-odds of the toxic against the clean class under an informative Dirichlet prior,
-in units of their standard error, shifted so that an ordinary token scores below zero. One linear scan
-per document finds every maximal-scoring segment; their scores follow an extreme-value law
-(Karlin-Altschul) whose parameters come from the background token distribution, which turns the
-best segments into a p-value; isotonic calibration on the training rows makes it a probability.
+Every token's score is its log-odds of the toxic against the clean class under an informative Dirichlet prior,
+shrunk towards zero by its standard error, less a penalty that makes ordinary text drift downwards. One
+linear scan per document finds every maximal-scoring segment. Their scores follow an extreme-value law
+(Karlin-Altschul): lambda comes from the background token distribution, K from the best segments of clean
+documents. The r best segments of a document are judged together by the sum statistic of that law, and isotonic
+calibration makes the evidence a probability. K and the calibration use scores of documents by models that
+were learned without them.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,21 @@ from treeline.llm.common import Workspace, bounded_labels, fold, id_text, slices
 SAMPLE_PER_LABEL = 12_000
 #: Weight of the Dirichlet prior as a share of all counts; it is spread over words by their overall frequency.
 PRIOR = 0.1
-#: A word counts as evidence only if its log-odds exceed this many standard errors.
-Z_MIN = 3.5
+#: Standard errors by which log-odds shrink towards zero.
+SHRINK = 3.0
+#: Words in fewer texts of the sample score zero, as their shrunken log-odds would.
+MIN_TEXTS = 2
+#: Parts of the sample that are scored by a model of the other parts.
+FOLDS = 4
+#: The penalty takes from ordinary text this many times what its tokens above zero give it. With so much the best
+#: segments of clean text are mostly single tokens, where the law is rough; the calibration makes up for that.
+DRIFT = 4.0
 #: Expected number of segments by chance, below which a passage is significant.
 E_VALUE = 0.01
+#: Evidence of a text without any token that scores above zero.
+NOTHING = -50.0
+#: A text and its near copies count as one text together, in whole numbers of such a part of a token.
+UNIT = 1 << 20
 _WORDS = re.compile(r"\w+")
 
 
@@ -37,20 +52,19 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-def weights(toxic: dict[str, int], clean: dict[str, int]) -> dict[str, float]:
-    """Word -> positive log-odds weight, for words that are significantly toxic; from document counts."""
-    n1, n0 = sum(toxic.values()), sum(clean.values())
-    if not n1 or not n0:
-        return {}
-    out = {}
-    for w, a in toxic.items():
-        b = clean.get(w, 0)
-        p = PRIOR * (a + b)
-        prior = PRIOR * (n1 + n0)
-        delta = np.log((a + p) / (n1 + prior - a - p)) - np.log((b + p) / (n0 + prior - b - p))
-        if delta > 0 and delta / np.sqrt(1 / (a + p) + 1 / (b + p)) > Z_MIN:
-            out[w] = float(delta)
-    return out
+def log_odds(tokens: np.ndarray, texts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Shrunken log-odds of words, toxic against clean, from how many tokens and how many texts of either class
+    (columns: clean, toxic) have each, and from all tokens of either. The standard error counts texts, as the
+    repeats of a word within one text are not independent."""
+    if not (totals > 0).all():
+        return np.zeros(len(tokens))
+    with_prior = lambda x: x + PRIOR * x.sum(1, keepdims=True)
+    share = with_prior(tokens) / (totals + PRIOR * totals.sum())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logit = np.log(share) - np.log1p(-share)
+        delta = logit[:, 1] - logit[:, 0]
+        sure = np.abs(delta) - SHRINK * np.sqrt((1 / with_prior(texts)).sum(1))
+    return np.where((sure > 0) & np.isfinite(sure), np.sign(delta) * sure, 0.0)
 
 
 def sketch(tokens: list[str]) -> int:
@@ -58,15 +72,14 @@ def sketch(tokens: list[str]) -> int:
     return min((zlib.crc32(" ".join(t).encode()) for t in zip(tokens, tokens[1:], tokens[2:])), default=zlib.crc32(" ".join(tokens).encode()))
 
 
-def segments(positions: np.ndarray, scores: np.ndarray, penalty: float) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first token, last token, score) of a text whose tokens score -penalty
-    but for those at positions. Linear: each candidate is joined or closed once."""
-    total, last = 0.0, -1
+def segments(values: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal-scoring segments (first token, last token, score) of tokens with these scores. Linear: each
+    candidate is joined or closed once."""
+    total = np.r_[0.0, np.cumsum(values)]
+    at = np.flatnonzero(values > 0)
     stack: list[list] = []
-    for p, s in zip(positions.tolist(), scores.tolist()):
-        left = total - penalty * (p - last - 1)
-        total, last = left + s, p
-        current = [p, p, left, total]
+    for p, left, right in zip(at.tolist(), total[at].tolist(), total[at + 1].tolist()):
+        current = [p, p, left, right]
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= current[2]:
@@ -80,57 +93,99 @@ def segments(positions: np.ndarray, scores: np.ndarray, penalty: float) -> list[
     return [(a, b, right - left) for a, b, left, right, _ in stack]
 
 
+def sum_evidence(normal: list[float]) -> float:
+    """-log of the chance that r independent segments reach the sum T of the r best normalised scores, at the r that
+    gives most: exp(-T) T^(r-1) / (r! (r-1)!), which holds from T > r (r - 1), times 2^r for having tried
+    several r. A single segment below zero keeps its score: no evidence, but comparable."""
+    top = sorted(normal, reverse=True)
+    best, total = top[0], 0.0
+    for r, x in enumerate(top, 1):
+        total += x
+        if x <= 0 or total <= r * (r - 1):
+            break
+        best = max(best, total - (r - 1) * math.log(total) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2))
+    return best
+
+
+def fit_k(n: np.ndarray, top: np.ndarray, weight: np.ndarray) -> float:
+    """Maximum likelihood of K for best scores (in units of lambda) with P(top < x) = exp(-K n exp(-x)). The law is
+    one of large scores, so texts up to the median count only as not being above it."""
+    if not len(n):
+        return 1.0
+    u = float(np.median(top))
+    above = float(weight[top > u].sum())
+    return float(np.clip(above / float((weight * n * np.exp(-np.maximum(top, u))).sum()), 1e-6, 1.0))
+
+
 class Model:
-    """Weights, the penalty of other tokens, and extreme-value parameters of the background."""
-
-    def __init__(self, weights: dict[str, float], background: dict[float, float]):
-        self.weights = weights
-        rate = sum(background.values())
-        mean = sum(s * p for s, p in background.items())
-        # Ordinary tokens score so low that a random text drifts downwards, as the law needs.
-        self.penalty = max(0.02, 4 * mean / max(1e-9, 1 - rate))
-        self.lam = self._root(background, rate)
-        # K by the bound for scores with one-step descents: drift of the tilted walk times lambda.
-        tilted = sum(s * p * np.exp(self.lam * s) for s, p in background.items()) - self.penalty * (1 - rate) * np.exp(-self.lam * self.penalty)
-        drift = self.penalty * (1 - rate) - mean
-        self.k = float(np.clip(drift * drift / max(1e-9, tilted) * self.lam, 1e-6, 1.0))
+    """Token scores, the penalty, and extreme-value parameters of the background."""
+
+    def __init__(self, vocabulary: list[str], scores: np.ndarray, background: np.ndarray, drift: float = DRIFT):
+        """background: how often clean text has each word (a share of its tokens); the rest scores zero."""
+        some = np.flatnonzero(scores)
+        self.weights = dict(zip((vocabulary[i] for i in some), scores[some].tolist()))
+        s, p = scores[some], background[some]
+        rate = float(p[s > 0].sum())
+        gain = float((s * p)[s > 0].sum())
+        self.penalty = max(0.02, drift * gain / max(1e-9, 1 - rate))
+        self.lam = self._root(np.r_[s, 0.0] - self.penalty, np.r_[p, max(0.0, 1 - p.sum())])
+        self.k = 1.0
         self.knots = (np.array([0.0]), np.array([0.0]))
 
-    def _root(self, background: dict[float, float], rate: float) -> float:
-        """lambda > 0 with sum p(s) exp(lambda s) = 1."""
-        if not background:
+    @staticmethod
+    def _root(s: np.ndarray, p: np.ndarray) -> float:
+        """lambda > 0 with sum p exp(lambda s) = 1."""
+        if not (s > 0).any():
             return 1.0
-        f = lambda x: sum(p * np.exp(x * s) for s, p in background.items()) + (1 - rate) * np.exp(-x * self.penalty) - 1
+        f = lambda x: float((p * np.exp(np.minimum(700.0, x * s))).sum()) - 1
         low, high = 1e-9, 1.0
         while f(high) < 0 and high < 64:
             high *= 2
-        for _ in range(80):
+        for _ in range(60):
             mid = (low + high) / 2
             low, high = (mid, high) if f(mid) < 0 else (low, mid)
         return max(high, 1e-6)
 
+    def found(self, tokens: list[str]) -> list[tuple[int, int, float]]:
+        """The maximal segments of a text."""
+        values = np.fromiter(map(self.weights.get, tokens, repeat(0.0)), np.float64, len(tokens)) - self.penalty
+        return segments(values)
+
     def passages(self, tokens: list[str]) -> tuple[list[tuple[int, int, float]], float]:
-        """Segments of a text, and the evidence -log(E) summed over its best ones (0: none)."""
-        get = self.weights.get
-        hits = [(i, w) for i, w in enumerate(map(get, tokens)) if w is not None]
-        if not hits:
-            return [], 0.0
-        found = segments(np.array([i for i, _ in hits]), np.array([w for _, w in hits]), self.penalty)
-        bits = [self.lam * s - np.log(self.k * max(2, len(tokens))) for _, _, s in found]
-        # The sum statistic of the r best segments, r chosen best: several passages confirm each other.
-        top, best, total = sorted(bits, reverse=True), 0.0, 0.0
-        for r, b in enumerate(top, 1):
-            total += b
-            best = max(best, total - (r - 1) * 2.0)
-        return found, float(max(best, 1e-3 + 1e-3 * max(0.0, 10 + top[0])))
-
-    def significant(self, tokens: list[str]) -> list[tuple[int, int, float]]:
-        limit = (np.log(self.k * max(2, len(tokens))) - np.log(E_VALUE)) / self.lam
-        return [x for x in self.passages(tokens)[0] if x[2] >= limit]
+        """Segments of a text, those significant by themselves, and the evidence of its best ones together."""
+        got = self.found(tokens)
+        if not got:
+            return [], NOTHING
+        chance = math.log(self.k * max(2, len(tokens)))
+        normal = [self.lam * x[2] - chance for x in got]
+        return [x for x, n in zip(got, normal) if n >= -math.log(E_VALUE)], max(NOTHING, sum_evidence(normal))
+
+
+_COUNTS = [f"{kind}_{label}_{f}" for kind in ("tokens", "texts") for label in (0, 1) for f in range(FOLDS)]
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """(word, tokens_label_fold.., texts_label_fold..): how often, and in how many texts, in parts of UNIT."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, some = ([Counter() for _ in range(2 * FOLDS)] for _ in range(2))
+        for b in batches:
+            for label, part, unit, text in zip(*(b.column(c).to_pylist() for c in ("label", "fold", "unit", "text"))):
+                at = label * FOLDS + part
+                for w, n in Counter(words(text)).items():
+                    tokens[at][w] += n * unit
+                    some[at][w] += unit
+        every = list(set().union(*tokens))
+        columns = [pa.array([c[w] for w in every], pa.int64()) for c in tokens + some]
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *columns], names=["word", *_COUNTS])
+
+    rows = texts.mapInArrow(tidy(count), "word string, " + ", ".join(f"{n} long" for n in _COUNTS))
+    return rows.groupBy("word").agg(*(F.sum(n).alias(n) for n in _COUNTS))
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample: int = SAMPLE_PER_LABEL) -> Model:
-    """Learn from the bounded sample of labelled rows; word counts are summed in Spark."""
+    """Learn from the bounded sample of labelled rows; token counts are summed in Spark. A text's near copies of
+    its label share the counts of one text and a fold, else a copied text's words would pass for evidence."""
     work = Workspace(docs.sparkSession, "toxicity")
     chosen = bounded_labels(docs, labels, "toxic", modulus, held, sample)
     texts = id_text(docs).join(F.broadcast(chosen), "doc_id").select("label", "weight", "text")  # chosen: the sample's ids
@@ -140,43 +195,50 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
             got = [sketch(words(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("label"), b.column("weight"), pa.array(got, pa.int64()), b.column("text")], names=["label", "weight", "sketch", "text"])
 
-    # One text speaks for its copies: else the words of a copied text pass for evidence. It takes their weight.
-    sketches = texts.mapInArrow(tidy(sketched), "label int, weight double, sketch long, text string").groupBy("label", "sketch")
-    texts = work.table(sketches.agg(F.min("text").alias("text"), F.sum("weight").alias("weight")), "sample")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = (Counter(), Counter())
+    texts = work.table(texts.mapInArrow(tidy(sketched), "label int, weight double, sketch long, text string"), "sketched")
+    copies = texts.groupBy("label", "sketch").agg(F.floor(F.lit(UNIT) / F.count("*")).alias("unit"))  # a row per sampled text at most
+    texts = texts.join(F.broadcast(copies), ["label", "sketch"]).withColumn("fold", F.pmod("sketch", F.lit(FOLDS)).cast("int"))
+    texts = work.table(texts.select("label", "weight", "fold", "unit", "text"), "sample")
+    sums = work.table(_counted(texts), "counts")
+    shape = (2, 2, FOLDS)  # tokens and texts, clean and toxic, folds
+    totals = np.array([x or 0 for x in sums.agg(*(F.sum(n) for n in _COUNTS)).first()], float).reshape(shape)[0] / UNIT
+    seen = sum((F.col(n) for n in _COUNTS[len(_COUNTS) // 2 :]), F.lit(0))
+    rows = sums.where(seen >= MIN_TEXTS * (UNIT - SAMPLE_PER_LABEL)).orderBy("word").toPandas()  # words of the bounded sample
+    vocabulary = rows["word"].tolist()
+    counts = rows[_COUNTS].to_numpy(float).reshape(-1, *shape) / UNIT
+
+    def model(left_out: int | None) -> Model:
+        kept = [f for f in range(FOLDS) if f != left_out]
+        c, n = counts[..., kept].sum(3), totals[:, kept].sum(1)
+        return Model(vocabulary, log_odds(c[:, 0], c[:, 1], n), np.maximum(0.5, c[:, 0, 0]) / max(1.0, n[0]))
+
+    out, parts = model(None), [model(f) for f in range(FOLDS)]
+    if not totals.sum(1).all():
+        return out
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-                sums[label].update(set(words(text)))
-        every = list(sums[0].keys() | sums[1].keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(every, pa.string()), *(pa.array([c[w] for w in every], pa.int64()) for c in sums)],
-            names=["word", "clean", "toxic"],
-        )
-
-    sums = texts.mapInArrow(tidy(count), "word string, clean long, toxic long").groupBy("word")
-    sums = sums.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = sums.agg(F.sum("clean"), F.sum("toxic")).first()
-    rows = sorted(sums.where(F.col("toxic") > 0).collect())  # at most the words of the sample's toxic rows
-    toxic = {r["word"]: r["toxic"] for r in rows}
-    clean = {r["word"]: r["clean"] for r in rows}
-    clean["\0other"] = (total[0] or 0) - sum(clean.values())
-    found = weights(toxic, clean)
-    background: dict[float, float] = {}
-    for w, s in found.items():  # how often clean text has such a score; at least as a word seen half a time
-        background[s] = background.get(s, 0.0) + max(0.5, clean.get(w, 0)) / max(1, total[0] or 1)
-    model = Model(found, background)
+            n, top = [], []
+            for part, text in zip(b.column("fold").to_pylist(), b.column("text").to_pylist()):
+                tokens = words(text)
+                n.append(float(max(2, len(tokens))))
+                top.append(parts[part].lam * max((x[2] for x in parts[part].found(tokens)), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.float64()), pa.array(top, pa.float64()), b.column("weight")], names=["n", "top", "weight"])
+
+    clean = texts.where("label = 0").mapInArrow(tidy(best), "n double, top double, weight double").toPandas()  # bounded, too
+    k = fit_k(*(clean.sort_values(["top", "n", "weight"])[c].to_numpy(float) for c in ("n", "top", "weight")))
+    for m in (out, *parts):
+        m.k = k
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.passages(words(t))[1] for t in b.column("text").to_pylist()]
+            got = [parts[f].passages(words(t))[1] for f, t in zip(b.column("fold").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
 
-    scored = texts.mapInArrow(evidence, "raw double, label int, weight double").collect()  # bounded by the sample
-    raw, label = np.array([r["raw"] for r in scored]), np.array([r["label"] for r in scored], float)
-    model.knots = calibration.isotonic(raw, label, bins=64, weights=np.array([r["weight"] for r in scored]))
-    return model
+    scored = texts.mapInArrow(tidy(evidence), "raw double, label int, weight double").toPandas()  # bounded by the sample
+    scored = scored.sort_values(["raw", "label", "weight"])
+    out.knots = calibration.isotonic(*(scored[c].to_numpy(float) for c in ("raw", "label")), bins=64, weights=scored["weight"].to_numpy(float))
+    return out
 
 
 def scan(
@@ -187,8 +249,9 @@ def scan(
 
     Labels are learned only from rows whose crc32(doc_id) mod modulus is not held. Null, empty and
     wordless texts have no evidence and get the score of that; without labels of both kinds all
-    scores are 0. Repeated rows get a row each; of repeated labels the larger counts; a null id counts as
-    held out; other columns are ignored.
+    scores are 0. Texts of any length are scanned whole, in one pass. Equal texts have equal scores; of segments
+    that tie, the shorter is taken. Repeated rows get a row each; of repeated labels the larger counts; a null id
+    counts as held out; an empty table gives no rows; other columns are ignored.
     """
     model = train(docs, labels, modulus, held, sample)
     return apply(id_text(docs), model).select(
@@ -209,9 +272,9 @@ def apply(texts: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch):
                 raw, spans = [], []
                 for text in part.column("text").to_pylist():
-                    tokens = words(text)
-                    raw.append(model.passages(tokens)[1])
-                    spans.append([dict(zip(("first", "last", "score"), x)) for x in model.significant(tokens)] if raw[-1] else [])
+                    sure, one = model.passages(words(text))
+                    raw.append(one)
+                    spans.append([dict(zip(("first", "last", "score"), x)) for x in sure])
                 score = calibration.apply(*model.knots, np.array(raw))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(score, pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "passages"]
