@@ -126,51 +126,68 @@ class Model:
 
 
 def _summed(rows: DataFrame, f, size: int) -> np.ndarray:
-    """Sum over partitions of f(stats, labels, weights), a vector of a fixed size; added up in the driver."""
+    """Sum over partitions of f(stats, labels, weights, halves), a vector of a fixed size; added up in the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
             if b.num_rows:
                 stats = np.array(b.column("stats").flatten()).reshape(b.num_rows, -1)
-                total += f(stats, np.array(b.column("label"), float), np.array(b.column("weight"), float))
+                total += f(stats, np.array(b.column("label"), float), np.array(b.column("weight"), float), np.array(b.column("half")))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
 
     return sum((np.array(r["v"]) for r in rows.mapInArrow(run, "v array<double>").collect()), np.zeros(size))
 
 
-def train(stats: DataFrame, labelled: DataFrame, partitions: int = 6) -> Model:
+def train(stats: DataFrame, labelled: DataFrame, work: Workspace) -> Model:
     """Fit on stats (doc_id, stats) of the bounded sample labelled (doc_id, label, weight); all sums are weighted,
-    so the mix of labels is that of all rows."""
-    rows = stats.join(F.broadcast(labelled), "doc_id").select("stats", "label", "weight").coalesce(partitions)
+    so the mix of labels is that of all rows. The calibration takes each half's scores from a fit of the
+    other half, so it sees how the model does on rows it has not learned from."""
+    rows = stats.join(F.broadcast(labelled), "doc_id").select("stats", "label", "weight", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(2)).cast("int").alias("half"))
+    rows = work.table(rows, "sample")  # so that the passes below read the sample, not all statistics
     k = len(STATS)
-    s = _summed(rows, lambda x, y, w: np.concatenate([w @ x, w @ (x * x), [w.sum()]]), 2 * k + 1)
+    s = _summed(rows, lambda x, y, w, half: np.concatenate([w @ x, w @ (x * x), [w.sum()]]), 2 * k + 1)
     n = max(1.0, s[-1])
     mean = s[:k] / n
     scale = np.sqrt(np.maximum(s[k : 2 * k] / n - mean**2, 0)) + 1e-6
     size = FEATURES + k + 1
     model = Model(mean, scale, np.zeros(size), (np.array([0.0]), np.array([0.0])))
+    upper = np.triu_indices(size)
 
-    def normal(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def normal(x: np.ndarray, y: np.ndarray, w: np.ndarray, half: np.ndarray) -> np.ndarray:
         z = model.features(x)
-        zw = z.T * w
-        return np.concatenate([(zw @ z).ravel(), zw @ y, [w.sum(), w @ y]])
-
-    a = _summed(rows, normal, size * size + size + 2)
-    gram, right, n = a[: size * size].reshape(size, size), a[size * size : -2], max(1.0, a[-2])
-    model.weights = np.linalg.solve(gram / n + RIDGE / 100 * np.eye(size), right / n)
-    scored = rows.mapInArrow(_scorer(model), "raw double, label int, weight double").collect()  # bounded by the sample
-    raw, label = np.array([r["raw"] for r in scored]), np.array([r["label"] for r in scored], float)
-    model.knots = calibration.isotonic(raw, label, weights=np.array([r["weight"] for r in scored]))
+        out = []
+        for h in (0, 1):
+            zh, wh = z[half == h], w[half == h]
+            zw = zh.T * wh
+            out += [(zw @ zh)[upper], zw @ y[half == h], [wh.sum()]]
+        return np.concatenate(out)
+
+    parts = _summed(rows, normal, 2 * (len(upper[0]) + size + 1)).reshape(2, -1)
+
+    def solve(a: np.ndarray) -> np.ndarray:
+        gram, n = np.zeros((size, size)), max(1.0, a[-1])
+        gram[upper] = a[: len(upper[0])]
+        gram = gram + np.triu(gram, 1).T
+        return np.linalg.solve(gram / n + RIDGE / 100 * np.eye(size), a[len(upper[0]) : -1] / n)
+
+    model.weights = solve(parts.sum(0))
+    other = np.stack([solve(parts[1]), solve(parts[0])], 1)  # the weights a half is scored by
+    scored = rows.mapInArrow(_scorer(model, other), "raw double, label int, weight double").toPandas()  # bounded by the sample
+    scored = scored.sort_values(["raw", "label", "weight"])
+    model.knots = calibration.isotonic(scored["raw"].to_numpy(), scored["label"].to_numpy(float), weights=scored["weight"].to_numpy())
     return model
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, weights: np.ndarray):
+    """(raw, label, weight) of (stats, label, weight, half), by the half's column of weights."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 stats = np.array(b.column("stats").flatten()).reshape(b.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(model.raw(stats)), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
+                raw = (model.features(stats) @ weights)[np.arange(b.num_rows), np.array(b.column("half"))]
+                yield pa.RecordBatch.from_arrays([pa.array(raw), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
 
     return run
 
@@ -182,12 +199,13 @@ def score(
 
     Labels are learned only from rows whose crc32(doc_id) mod modulus is not held. Null and empty texts
     have the statistics of an empty text and are scored like any other; without any label all scores
-    are 0. Repeated rows get a row each; of repeated labels the larger counts; a null id counts as held
-    out; other columns are ignored.
+    are 0. Statistics are of whole texts, however long; equal texts have equal scores. Repeated rows get a row
+    each; of repeated labels the larger counts; a null id counts as held out; an empty table gives no rows;
+    other columns are ignored.
     """
     work = Workspace(docs.sparkSession, "quality")
     stats = work.table(with_statistics(docs), "stats")
-    model = train(stats, bounded_labels(docs, labels, "quality", modulus, held, sample))
+    model = train(stats, bounded_labels(docs, labels, "quality", modulus, held, sample), work)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
