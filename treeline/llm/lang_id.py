@@ -141,17 +141,18 @@ def identify(docs: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAM
     """(doc_id, held_out, lang_pred, score) per row of docs.
 
     Text that is null, empty or without a letter gives `und` and score 0, as does a table with no
-    language to learn. Ties between languages go to the alphabetically first; ties between n-grams to the
-    smaller code. Repeated rows give a row each; a null id counts as held out; other columns are ignored.
+    language to learn. Texts of any length are taken whole. Ties between languages go to the alphabetically first; ties between n-grams to the
+    smaller code. Repeated rows give a row each and count each in training; a null id counts as held out; an empty
+    table gives no rows; other columns are ignored. Profiles, one per distinct language, are held by every task.
     """
     model = Model(train(docs, modulus, held, sample))
-    kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    kept = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
     kept = kept.select("doc_id", F.coalesce(fold(F.col("doc_id"), modulus) == held, F.lit(True)).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _GramCache()
         for batch in batches:
-            for part in slices(batch, limit=4 << 20) if batch.column("text").null_count == 0 else [batch]:
+            for part in slices(batch, limit=4 << 20):
                 got = [model.predict(t, cache) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())],
