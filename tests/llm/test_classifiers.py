@@ -156,3 +156,52 @@ def test_languages_by_out_of_place_distance(spark):
         other = sum(v for k, v in far.items() if k != best) / (len(far) - 1)
         want.append((i, best, round(min(1.0, max(0.0, 1 - far[best] / other)), 9)))
     assert got == sorted(want, key=repr)
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    from treeline.llm import licences
+
+    r = random.Random(5)
+    plain = ["".join(r.choice("aeioulmnst") for _ in range(r.randint(2, 9))) for _ in range(300)] + "the of is to and by mit".split()
+    return licences.Model([" ".join(r.choice(plain) for _ in range(r.randint(1, 40))) for _ in range(800)])
+
+
+def test_licence_probabilities_by_the_formula(licence_model):
+    from treeline.llm import licences
+
+    texts = ["Released under the MIT License.\nmit und\n\nLicensed under  CC BY 4.0. the the", "", "no word known here xyz", "all Rights\treserved"]
+    got, lines = licence_model.probabilities(texts)
+    assert lines.tolist() == [4, 1, 1, 1]
+    names = licence_model.index
+    for p, line in zip(got, [x for t in texts for x in t.split("\n")]):
+        w = licences.words(line)
+        ids = {names[x] for x in w if x in names}
+        pairs = {names[a] * len(names) + names[b] for a, b in zip(w, w[1:]) if a in names and b in names} & set(licence_model.pairs.tolist())
+        ids |= {len(names) + int(np.searchsorted(licence_model.pairs, x)) for x in pairs}
+        z = licence_model.weights[-1] + sum((licence_model.weights[i] / math.sqrt(len(w)) for i in ids), np.zeros(len(p)))
+        e = np.exp((z - z.max()) / licence_model.temperature)
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
+
+
+def test_wrapped_notices_and_ordinary_words(licence_model):
+    grant = (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation "
+        'files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights'
+    )
+    header = (
+        "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as "
+        "published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version."
+    )
+    (n, hits), (_, ordinary), (empty, none) = licence_model.scan([f"aeio stnm\n{grant}\nlmno aei\n{header}\nend", "mit.\naeio is the of stn ulm aei", ""])
+    assert [(h["paragraph"], h["family"]) for h in hits] == [(1, "MIT"), (5, "GPL-3.0")] and n < 10
+    assert ordinary == [] and (empty, none) == (0, [])
+    assert all(licence_model.judge(t)[0] == f for f, ts in __import__("treeline.llm.licences", fromlist=["x"]).TEMPLATES.items() for t in ts[:1])
+
+
+def test_licence_ties_repeats_and_long_texts(spark):
+    from treeline.llm import licences
+
+    rows = [(1, "Released under the MIT License.", "en"), (1, "Released under the MIT License.", "en"), (None, "aeio " * 40_000 + "\nSPDX-License-Identifier: MIT", "en"), (2, None, None), (3, "aeio stn", "en")]
+    got = sorted(((x.doc_id, tuple(x.families), x.n_paragraphs) for x in licences.scan(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, ("MIT",), 1), (1, ("MIT",), 1), (None, ("MIT",), 2), (2, (), 0), (3, (), 1)], key=repr)
