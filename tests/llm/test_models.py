@@ -127,24 +127,85 @@ def test_overlaps_tolerate_substitution(spark):
     assert decontaminate.overlaps(docs, benchmark.where("false")).count() == 0
 
 
+def top_k_by_hand(v, every=50, k=5):
+    """v: id -> integers (Python's, padded)."""
+    out = set()
+    for q in (i for i in v if i % every == 0):
+        score = {i: sum(a * b for a, b in zip(v[q], v[i])) for i in v if i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:k]
+        out |= {(q, n + 1, i, score[i]) for n, i in enumerate(best)}
+    return out
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(1)
     x = np.vstack([r.normal(0, 1, (900, 8)), np.tile(r.normal(0, 1, 8), (300, 1)), np.zeros((20, 8))]).astype(np.float32)
     rows = [(i, [float(c) for c in v], 1, 2) for i, v in enumerate(x)]
-    rows += [(5000, None, 1, 2), (5050, [1.0, None] + [0.0] * 6, 1, 2), (5100, [float("nan")] * 8, 1, 2), (5150, [1.0] * 3, 1, 2), (None, [1.0] * 8, 1, 2)]
+    rows += [(5000, None, 1, 2), (5050, [1.0, None] + [0.0] * 6, 1, 2), (5100, [float("nan")] * 8, 1, 2), (5150, [1.0] * 3, 1, 2), (None, [1.0] * 8, 1, 2), (5151, [], 1, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score int")
-    v = np.floor(256 * x.astype(np.float64)).astype(np.int64)
-    want = set()
-    for q in range(0, len(v), 50):
-        s = v @ v[q]
-        best = [i for i in np.lexsort((np.arange(len(v)), -s)) if i != q][:5]
-        want |= {(q, n + 1, int(i), int(s[i])) for n, i in enumerate(best)}
-    got = {tuple(x) for x in topk_search.top_k(df, page=128, block=7).collect()}
-    assert got == want
+    v = {i: np.floor(256 * w.astype(np.float64)).astype(int).tolist() for i, w in enumerate(x)}
+    v |= {5150: [256] * 3 + [0] * 5, 5151: [0] * 8}
+    got = [tuple(x) for x in topk_search.top_k(df, page=128, block=7).collect()]
+    assert set(got) == top_k_by_hand(v) and len(got) == len(set(got))
     assert topk_search.top_k(df.where("vec_id < 3")).count() == 2
     assert topk_search.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_clustered_and_of_huge_integers(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(0, 50, (12, 16))
+    x = centres[r.integers(0, 12, 1500)] + r.normal(0, 0.5, (1500, 16))
+    for scale, every in ((1.0, 50), (2.0**13, 500)):  # the second has products beyond 2^53
+        rows = [(i, [float(c) for c in w * scale]) for i, w in enumerate(x)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        v = {i: [int(np.floor(256 * c)) for c in w] for i, w in rows}
+        assert {tuple(t) for t in topk_search.top_k(df, every=every, page=200, block=16).collect()} == top_k_by_hand(v, every)
+
+
+def test_products_are_exact_at_every_size():
+    r = np.random.default_rng(6)
+    for bits in (10, 24, 29, 40):
+        a, b = r.integers(-(2**bits), 2**bits, (5, 16)), r.integers(-(2**bits), 2**bits, (7, 16))
+        got = topk_search.products(a, b)
+        for i in range(5):
+            for j in range(7):
+                want = sum(int(p) * int(q) for p, q in zip(a[i], b[j]))
+                assert got[i, j] == max(-(2**63) + 1, min(2**63 - 1, want))
+
+
+def test_a_page_rules_out_by_stored_distances():
+    """In clustered data most leaves are never opened; radii cover and stored distances are right."""
+    r = np.random.default_rng(7)
+    centres = r.normal(0, 100, (20, 12))
+    v = np.floor(centres[r.integers(0, 20, 4000)] + r.normal(0, 1, (4000, 12))).astype(np.int64)
+    top = float((v.astype(float) ** 2).sum(1).max())
+    pivot = topk_search._lift(v[:1], top)[0]
+    page = topk_search.Page.unpack(topk_search.Page(np.arange(4000), v, top, pivot).pack())
+    x = topk_search._lift(page.vectors, top)
+    assert sorted(page.ids.tolist()) == list(range(4000)) and not page.leaf[0] and page.leaf.sum() > 20
+
+    def below(node):
+        if page.leaf[node]:
+            return list(range(page.first[node], page.last[node]))
+        return [e for c in range(page.first[node], page.last[node]) for e in below(c)]
+
+    for node in range(len(page.leaf)):
+        d = topk_search._distances(x[below(node)], page.centre[node][None])[:, 0]
+        assert d.max() <= page.radius[node] + 1e-3
+        if not page.leaf[node]:
+            for c in range(page.first[node], page.last[node]):
+                assert abs(topk_search._distances(page.centre[c : c + 1], page.centre[node][None])[0, 0] - page.to_parent[c]) < 1e-3
+    q = v[:10]
+    exact = np.sort(q @ v.T, 1)[:, -6:]
+    bound = exact[:, 0]
+    to_pivot = topk_search._distances(topk_search._asked(q), pivot[None])[:, 0]
+    opened = page._leaves(topk_search._asked(q), topk_search.reach(q, top, bound), to_pivot)
+    assert sum(len(o[2]) for o in opened) < 0.7 * 10 * page.leaf.sum()
+    qid, score, _ = page.search(np.arange(10), q, top, 5, bound, to_pivot)
+    want = [sorted((int(s) for j, s in enumerate(v @ q[i]) if j != i), reverse=True)[:5] for i in range(10)]
+    assert [sorted(score[qid == i].tolist(), reverse=True) for i in range(10)] == want
+
+
 def test_calibration_weights_stand_for_rows():
     """A thinned class with weights has the rates of the whole one."""
     r = np.random.default_rng(4)
