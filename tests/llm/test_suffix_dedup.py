@@ -45,7 +45,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed,limit,hot", [(0, 512, 0.02), (1, 8, 9.0), (2, 512, 0.001)])
+@pytest.mark.parametrize("seed,limit,hot", [(0, 512, 0.02), (1, 8, 9.0), (2, 512, 0.001), (3, 1, 9.0), (4, 30, 0.001), (5, 10**6, 9.0)])
 def test_digest_equals_brute_force(spark, monkeypatch, seed, limit, hot):
     monkeypatch.setattr(suffix_dedup, "LIMIT", limit)
     monkeypatch.setattr(suffix_dedup, "HOT_SHARE", hot)
@@ -90,3 +90,17 @@ def test_difference_cover_and_sliding_minimum():
     assert len(cover) <= 12 and all((a + shift[a, b]) % 57 in cover and (b + shift[a, b]) % 57 in cover for a in range(57) for b in range(57))
     x = np.random.default_rng(0).integers(0, 99, 500).astype(np.uint64)
     assert suffix_dedup._sliding_min(x, 37).tolist() == [x[i : i + 37].min() for i in range(464)]
+
+
+def test_contents_of_unlike_runs_differ_where_a_polynomial_would_not():
+    """Thue-Morse strings, equal under any polynomial hash modulo 2^64, are unlike contents."""
+    a = [0]
+    while len(a) < 1024:
+        a += [1 - x for x in a]
+    head, tail = b"h" * 64 + bytes(range(60)) * 2, b"t" * 300
+    pieces = [(i, 0, head + bytes(97 + (x ^ i) for x in a) + tail) for i in (0, 1)]
+    doc, position, size, bucket, contents, _ = suffix_dedup.find_runs(pieces, 1400, 64)
+    seen = {}
+    for d, p, n, b, c in zip(doc.tolist(), position.tolist(), size.tolist(), bucket.tolist(), contents.tolist()):
+        seen.setdefault((b, c), set()).add(pieces[d][2][p : p + n + 1399])
+    assert all(len(v) == 1 for v in seen.values())

@@ -12,10 +12,13 @@ time, and only those that can be repeated:
    period puts both on sampled positions, which are ranked to the full window). Neighbours in the
    order that agree on a whole window are repeated.
 
-Buckets with more unlike runs than LIMIT, as a very common line makes, are not sorted together. Their windows are
-lined up by the bucket's string and refined in blocks of STEPS places: a block goes if no other has the bytes that all its windows
-share, it is repeated if another equals it (128-bit hashes), and what is left is divided, down to single windows.
-Texts are known by a 64-bit hash; equal texts are one text, repeated from end to end.
+Buckets with more unlike runs than LIMIT, as a very common line makes, would not fit a block. Their windows are
+lined up by the bucket's string and cut into blocks of STEPS places. The bytes that all windows of a block share are
+a longer string than the bucket's, and make buckets of their own: equal windows still share one. A block
+alone in its bucket goes, blocks with equal contents are repeated as a whole, buckets of up to LIMIT blocks are
+sorted like any other, and only larger ones are cut again, down to single windows.
+Bucket and contents are independent 64-bit hashes; texts are known by a 64-bit hash. Equal texts are one text,
+repeated from end to end.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ ANCHOR = 64
 LIMIT = 512
 #: Suffixes of one run at most, and of one piece of a text when runs are found.
 RUN, CHUNK = 1024, 1 << 16
-#: Places of windows, relative to their bucket's string, that are judged together in large buckets.
+#: Places of windows, relative to their bucket's string, that make the smaller buckets of large ones.
 STEPS = (16, 4, 1)
 #: Bytes of run contents sorted at once.
 BLOCK = 1 << 20
@@ -102,6 +105,8 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def find_runs(pieces: list[tuple[int, int, bytes]], window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(document, position, suffixes, bucket, contents hash, periodic) of all runs of pieces (document, offset,
     bytes). Only a run that holds its bucket's string twice, a periodic one, can repeat a window in itself."""
+    from xxhash import xxh3_64_intdigest
+
     data = np.frombuffer(b"".join(p[2] for p in pieces), np.uint8)
     lengths = np.array([len(p[2]) for p in pieces])
     starts = np.cumsum(lengths) - lengths
@@ -124,7 +129,8 @@ def find_runs(pieces: list[tuple[int, int, bytes]], window: int, anchor: int) ->
     since = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
     first = np.flatnonzero(new | (since % RUN == 0))
     size = np.diff(np.r_[first, len(at)])
-    contents = _mix(rolling(at[first], at[first] + size + window - 1) + size.astype(np.uint64) * _P)
+    view, ends = memoryview(data), at[first] + size + window - 1
+    contents = np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in zip(at[first].tolist(), ends.tolist())), np.uint64, len(first))
     who = owner[first]
     docs, offsets = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
     periodic = np.isin(bucket[first], twice)
@@ -205,7 +211,7 @@ def _runs(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 #: What becomes of a run: repeated as a whole; bytes to be sorted, as a candidate or only as a partner;
-#: or, in a large bucket, refined, likewise.
+#: or, in a large bucket, cut to blocks, likewise.
 WHOLE, SORT, PARTNER, HASH, HASH_PARTNER = range(5)
 
 
@@ -471,9 +477,10 @@ def _fetched(texts: DataFrame, runs: DataFrame, keys: DataFrame, window: int, an
     return got.where(F.col("fate").isin(SORT, PARTNER)), large.mapInArrow(tidy(first), BLOCKS)
 
 
-def _large_buckets(blocks: DataFrame, window: int, work: Workspace) -> DataFrame:
-    """(key, first, last) byte intervals of repeated windows, from the first blocks of runs in large buckets."""
-    found = None
+def _large_buckets(blocks: DataFrame, window: int, limit: int, work: Workspace) -> tuple[list[DataFrame], list[DataFrame]]:
+    """From the first blocks of runs in large buckets: (key, first, last) byte intervals of repeated windows, and blocks
+    to be sorted, as rows for _sorted_blocks."""
+    found, to_sort = [], []
     for turn, step in enumerate(STEPS):
         blocks = work.table(blocks, f"blocks-{turn}")
         if blocks.isEmpty():
@@ -483,18 +490,21 @@ def _large_buckets(blocks: DataFrame, window: int, work: Workspace) -> DataFrame
         equal = work.table(of("core", "whole").withColumn("equal", F.lit(True)), f"equal-{turn}")
         marks = blocks.where("candidate").join(equal.drop("equal"), ["core", "whole"], "left_semi")
         marks = marks.select("key", F.col("position").alias("first"), (F.col("position") + F.col("size") + window - 1).alias("last"))
-        found = marks if found is None else found.unionByName(marks)
+        found.append(marks)
         if step == STEPS[-1]:
             break
         # Blocks that share a core with an open candidate go on; those already repeated are partners only.
         rest = blocks.join(equal, ["core", "whole"], "left").withColumn("candidate", F.col("candidate") & F.col("equal").isNull()).drop("equal")
         rest = work.table(rest, f"judged-{turn}")
-        shared = rest.groupBy("core").agg(F.min(ident).alias("a"), F.max(ident).alias("b"), F.max("candidate").alias("open")).where("a <> b and open").select("core")
-        rest = rest.join(work.table(shared, f"open-{turn}"), "core", "left_semi")
+        shared = rest.groupBy("core").agg(F.min(ident).alias("a"), F.max(ident).alias("b"), F.max("candidate").alias("open"), F.count("*").alias("members"))
+        rest = rest.join(work.table(shared.where("a <> b and open").select("core", "members"), f"open-{turn}"), "core")
         # Of blocks equal to each other one is partner enough.
         alone = rest.where("candidate")
         one = rest.where("not candidate").withColumn("nth", F.row_number().over(Window.partitionBy("core", "whole").orderBy("key", "position")))
-        rest = alone.unionByName(one.where("nth = 1").drop("nth"))
+        rest = work.table(alone.unionByName(one.where("nth = 1").drop("nth")), f"rest-{turn}")
+        fate = F.when(F.col("candidate"), SORT).otherwise(PARTNER).alias("fate")
+        to_sort.append(rest.where(F.col("members") <= limit).select("key", "position", "size", F.col("core").alias("bucket"), fate, "bytes"))
+        rest = rest.where(F.col("members") > limit)
         following = STEPS[turn + 1]
 
         def divide(batches: Iterator[pa.RecordBatch], following=following) -> Iterator[pa.RecordBatch]:
@@ -505,7 +515,7 @@ def _large_buckets(blocks: DataFrame, window: int, work: Workspace) -> DataFrame
                 yield _block_batch(out)
 
         blocks = rest.select("key", "position", "size", "lead", "candidate", "bytes").mapInArrow(tidy(divide), BLOCKS)
-    return found if found is not None else blocks.select("key", F.col("position").alias("first"), F.col("size").alias("last")).where("false")
+    return found, to_sort
 
 
 def _sorted_blocks(rows: DataFrame, window: int) -> DataFrame:
@@ -553,11 +563,16 @@ def repeated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, limit:
     keys = work.table(rows.groupBy("key").agg(F.count("*").alias("many"), F.min("row").alias("row")), "keys")
     sort, large = _fetched(texts, fates, keys, window, anchor, work)
     whole = fates.where(F.col("fate") == WHOLE).select("key", F.col("position").alias("first"), (F.col("position") + F.col("size") + window - 1).alias("last"))
-    spans = whole.unionByName(_sorted_blocks(sort, window)).unionByName(_large_buckets(large, window, work))
+    found, more = _large_buckets(large, window, limit, work)
+    for rows_ in more:
+        sort = sort.select("key", "position", "size", "bucket", "fate", "bytes").unionByName(rows_)
+    spans = whole.unionByName(_sorted_blocks(sort, window))
+    for marks in found:
+        spans = spans.unionByName(marks)
     once = keys.where("many = 1").select("key")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("spans")).join(once, "key", "left_semi")  # spans of one text
     spans = work.table(spans, "spans")
-    work.forget("fates", "lists", "fetched", *[f"{n}-{i}" for n in ("blocks", "equal", "judged", "open") for i in range(len(STEPS))])
+    work.forget("fates", "lists", "fetched", *[f"{n}-{i}" for n in ("blocks", "equal", "judged", "open", "rest") for i in range(len(STEPS))])
     return texts, rows, keys, spans, work
 
 
@@ -602,8 +617,8 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     string that also starts anywhere else goes.
 
     Null and empty texts have nothing to remove; texts shorter than the window neither. Equal texts (repeated rows
-    too) of window bytes or more go whole. An empty table gives no rows; a null id is as good as any;
-    other columns are ignored.
+    too) of window bytes or more go whole. Texts of any length are taken whole, in pieces that overlap by a window.
+    An empty table gives no rows; a null id is as good as any; other columns are ignored.
     """
     texts, rows, keys, spans, work = repeated(docs, window)
     cut = _cut_texts(texts, spans).select("key", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
@@ -622,7 +637,8 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def remove(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the repeated bytes taken out of their texts; characters cut in part go too. Unchanged
-    texts, null ones among them, stay as they are."""
+    texts, null and empty ones among them, stay as they are; equal texts of a window or more become empty; no row
+    goes. Other columns stay, whatever their names."""
     texts, _, keys, spans, work = repeated(docs, window)
     kept = work.table(_valid(_cut_texts(texts, spans)), "kept")
     copies = work.table(keys.where("many > 1").select(F.col("key").alias("__copied")), "copies")
