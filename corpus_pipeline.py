@@ -19,7 +19,7 @@ SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the toxicity operator rejects go; those without an id are scored but can't be told apart, and
-    stay. Rows with one id go together if one of them is toxic."""
+    stay. Null and empty texts have no evidence of toxicity. Rows with one id go together if one of them is toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.scan(docs, labels)
     bad = scored.where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("__toxic")).distinct()
@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays, the one with the smallest id (of rows with
-    that id, one). Documents without words or an id stay."""
+    """One document of each component of similar documents stays, the one with the smallest id. Rows of one id with
+    equal texts are one document; unlike texts under one id all stay if the id does. Documents without words
+    (null and empty texts too) or without an id stay. Texts of any length are compared whole."""
     work = Workspace(spark, "near-duplicates")
     linked = jaccard.join(docs, SHINGLE_WORDS, SIMILARITY_PERCENT, 100)
     keep = linked.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct()
@@ -39,17 +40,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def _one_of_each(docs: DataFrame) -> DataFrame:
-    """Of repeated ids one row, without moving the texts of ids that stand once."""
+    """Of rows with one id and text one, without moving the texts of ids that stand once."""
     again = docs.groupBy(docs["doc_id"].alias("__again")).count().where("count > 1").select("__again")
     if again.isEmpty():
         return docs
     once = docs.join(again, docs["doc_id"] == again["__again"], "left_anti")
-    return once.unionByName(docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.join(again, docs["doc_id"] == again["__again"], "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated passages go from the texts (characters cut in part go too); no document goes.
-    n_chars follows the text."""
+    n_chars follows the text. Null and empty texts stay as they are; equal texts of a window or more, repeated rows
+    among them, become empty."""
     cut = suffix_dedup.remove(docs)
     if "n_chars" not in docs.columns:
         return cut
@@ -57,12 +59,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, or a long passage of one, go. Null and empty texts hold none; rows with
+    one id go together; rows without an id stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces and their places in training sequences."""
+    """Pieces and their places in training sequences. A null or empty text is a piece of the end id alone; repeated
+    rows and null ids have pieces each."""
     return packing.pack(docs)
 
 
