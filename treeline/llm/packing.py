@@ -12,6 +12,7 @@ import bisect
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +38,6 @@ _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_DIGIT
 _OTHER = re.compile(r"[^ -~\n\r\t¡-ÖØ-öø-įı-ɏ]|<\|").search
 
 
-def _spans(encoding) -> list[tuple[int, int, int, int]]:
-    """(first token, end token, first character, end character) of every word of an encoding."""
-    out: list[tuple[int, int, int, int]] = []
-    last = None
-    for i, (word, (begin, end)) in enumerate(zip(encoding.word_ids, encoding.offsets)):
-        if word == last:
-            out[-1] = (out[-1][0], i + 1, out[-1][2], end)
-        else:
-            out.append((i, i + 1, begin, end))
-            last = word
-    return out
-
-
 class WordIds(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes; texts() gives those of whole texts.
 
@@ -73,11 +61,17 @@ class WordIds(dict):
         """New pieces are encoded together, apart by blanks. Where the library's words don't lie exactly on
         the pieces, halves are tried apart, down to single pieces, which then aren't known (None)."""
         e = self.tok.encode(" ".join(new), add_special_tokens=False)
-        spans = _spans(e)
-        begins = np.r_[0, np.cumsum([len(p) + 1 for p in new])]
-        if [(x[2], x[3]) for x in spans] == [(int(a), int(b) - 1) for a, b in zip(begins, begins[1:])]:
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            found: list = [ids[4 * x[0] : 4 * x[1]] for x in spans]
+        word = np.array(e.word_ids, np.int64)
+        spans = np.fromiter(chain.from_iterable(e.offsets), np.int64, 2 * len(word)).reshape(-1, 2)
+        first = np.flatnonzero(np.diff(word, prepend=-1))  # tokens that begin a word
+        begins = np.cumsum([0] + [len(p) + 1 for p in new])
+        if (
+            len(first) == len(new)
+            and (spans[first, 0] == begins[:-1]).all()
+            and (spans[np.r_[first[1:], len(word)] - 1, 1] == begins[1:] - 1).all()
+        ):
+            ids, ends = np.asarray(e.ids, "<u4").tobytes(), (4 * np.r_[first, len(word)]).tolist()
+            found: list = [ids[i:j] for i, j in zip(ends, ends[1:])]
         elif len(new) == 1:
             found = [None]
         else:
