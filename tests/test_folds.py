@@ -1,5 +1,6 @@
 """Folds against plain loops written from their definitions."""
 
+import json
 import random
 
 import pytest
@@ -105,3 +106,79 @@ def test_tree_of_random_levels(spark):
             x = got[d, i]
             assert x.parent_seq == (stack[-1][0] if stack else None) and x.depth == len(stack) and x.node_seq == i
             stack.append((i, level))
+
+
+def test_structure_budget_ladder(spark):
+    r = random.Random(8)
+    rows = [(1, i, 1 if i % 9 == 0 else r.randint(2, 4), f"title {i}", "x") for i in range(60)]
+    levels = spark.createDataFrame(rows, "doc_id int, seq int, level int, title string, text string")
+    nodes = tree.subtree_ends(tree.numbered(tree.depths(tree.parents_from_levels(levels))))
+    from pyspark.sql import functions as F
+
+    nodes = nodes.withColumn("summary", F.concat(F.lit("summary of "), "title")).cache()
+    view = nodes.orderBy("node_seq").collect()
+    text = lambda **kv: len(json.dumps(kv, separators=(",", ":")))
+
+    def fits(depth, chars, budget):
+        shown = [x for x in view if depth is None or x.depth < depth]
+        # Without summaries the field is empty.
+        size = sum(text(title=x.title, node_id=x.node_id, summary=x.summary[:chars] if chars else "") + 14 for x in shown)
+        return size <= budget
+
+    tops = [x for x in view if x.depth == 0]
+    met = set()
+    for budget in (10**6, 4200, 3000, 1500, 700, 500, 250, 90):
+        want = next(((d, c, None) for d, c in ((None, 160), (3, 160), (2, 160), (1, 160), (1, 0)) if fits(d, c, budget)), None)
+        if want is None:
+            n = len(tops)
+            while n > 1:
+                n //= 2
+                if sum(text(title=x.title, node_id=x.node_id) + 2 for x in tops[:n]) <= budget:
+                    break
+            want = (1, 0, n)
+        shown, fit = tree.document_structure(nodes, 1, budget=budget)
+        assert (fit["max_depth"], fit["summary_chars"], fit["top_n"]) == want, budget
+        met.add(want)
+        got = [x.node_seq for x in shown.collect()]
+        assert got == [x.node_seq for x in (tops[: want[2]] if want[2] else [x for x in view if want[0] is None or x.depth < want[0]])]
+    assert len(met) >= 5
+
+
+def test_codes_to_tree_of_random_codes(spark):
+    """Depths and parents of random dotted codes: every prefix of a code is a node above it."""
+    r = random.Random(9)
+    for turn in range(3):
+        codes = sorted({".".join(str(r.randint(1, 3)) for _ in range(r.randint(1, 4))) for _ in range(25)}, key=lambda c: [int(x) for x in c.split(".")])
+        rows = [(1, i, c, f"t{c}", i + 1, i + 1) for i, c in enumerate(codes)]
+        items = spark.createDataFrame(rows, "doc_id int, seq int, structure string, title string, start_index int, end_index int")
+        got = {x.structure: x for x in tree.codes_to_tree(items).collect()}
+        by_seq = {x.node_seq: x for x in got.values()}
+        for c in codes:
+            x, up = got[c], c.rpartition(".")[0]
+            assert not x.synthesized
+            if up and any(k.split(".")[0] == c.split(".")[0] and "." not in k for k in codes):
+                assert by_seq[x.parent_seq].structure == up and x.depth == c.count(".")
+            elif not up:
+                assert x.parent_seq is None and x.depth == 0
+
+
+def test_page_trees_fall_back_to_headings(spark):
+    from treeline.plans import build
+
+    pages_ = [(1, n, f"{n}. Heading number {'abcdef'[n]}\nsome words of the page {n}.") for n in range(1, 6)]
+    got = build.page_trees(spark.createDataFrame(pages_, "doc_id int, page_no int, page_text string")).orderBy("node_seq").collect()
+    assert [(x.title, x.start_index) for x in got] == [(f"Heading number {'abcdef'[n]}", n) for n in range(1, 6)]
+
+
+def test_configurations_are_compared(spark):
+    from treeline.plans import build
+
+    nodes = spark.createDataFrame([(f"d{i}", "0", " ".join(f"w{(i + j) % 9}" for j in range(4)) + f" only{i}") for i in range(9)], "doc_id string, node_id string, text string")
+    vectors = spark.createDataFrame([(f"d{i}", "0", [1.0 if j == i else 0.0 for j in range(9)]) for i in range(9)], "doc_id string, node_id string, embedding array<double>")
+    asked = [(i, f"only{i} w{i}", [(f"d{i}", None)]) for i in range(4)]
+    questions = spark.createDataFrame(asked, "id int, question string, relevant array<struct<doc_id: string, node_id: string>>")
+    qvectors = spark.createDataFrame([(i, [1.0 if j == i else 0.1 for j in range(9)]) for i in range(4)], "id int, embedding array<double>")
+    out = build.compared(nodes, ("doc_id", "node_id"), ["text"], questions, vectors, qvectors).collect()
+    assert [x.configuration for x in out] == list(build.CONFIGURATIONS)
+    alone = build.compared(nodes, ("doc_id", "node_id"), ["text"], questions)
+    assert [x.configuration for x in alone.collect()] == ["bm25"]

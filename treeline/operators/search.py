@@ -18,6 +18,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
 #: Distinct question terms up to which they are broadcast.
 BROADCAST_TERMS = 500_000
+#: Query vectors of a block (a few kilobytes each at most).
+BROADCAST_QUERIES = 10_000
 
 
 def postings(nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -46,20 +48,23 @@ def bm25(nodes: DataFrame, keys: list[str], columns: list[str], questions: DataF
     shuffle carries matches, not the corpus's postings.
     """
     asked = question_terms(questions, qkey, qcolumn)
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else (lambda x: x)
     terms = asked.select("term").distinct()
     words = F.concat(*[T.tokens(c) for c in columns])
     rows = nodes.select(*keys, words.alias("words"))
     rows = rows.select(*keys, F.size("words").alias("size"), F.explode("words").alias("term"))
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    found = rows.join(terms, "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    # A node's terms meet in its own task: what is shuffled is a row per node and asked term.
+    found = rows.join(small(terms), "term").groupBy(*keys, "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = corpus_stats(nodes, columns)
     idf = F.log((F.col("n_nodes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.join(F.broadcast(stats)).select("term", "avg_size", F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF)).alias("idf"))
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg_size")))
-    scored = found.join(weights, "term").select(*keys, "term", (F.col("idf") * share).alias("part"))
-    return scored.join(asked, "term").groupBy(qkey, *keys).agg((-F.sum("part")).alias("score"))
+    # Common terms meet every node, so questions and weights, a row per asked term, go to the matches.
+    wanted = small(asked.join(small(weights), "term"))
+    scored = found.join(wanted, "term").select(qkey, *keys, (F.col("idf") * share).alias("part"))
+    return scored.groupBy(qkey, *keys).agg((-F.sum("part")).alias("score"))
 
 
 def top(rows: DataFrame, by: list[Column], k: int, per: list[str] | None = None, rank: str = "rank") -> DataFrame:
@@ -88,48 +93,68 @@ def vector_search(vectors: DataFrame, keys: list[str], column: str, query: list[
     return top(rows.select(*keys, score.alias("score")), [F.desc("score"), *map(F.col, keys)], k)
 
 
-def rrf(lists: list[DataFrame], keys: list[str], k: int = RRF_K) -> DataFrame:
-    """Fuse ranked lists (keys, rank, score): (keys, rrf, match_sources, score, position).
+def vector_search_all(vectors: DataFrame, keys: list[str], column: str, queries: DataFrame, qkey: str, qcolumn: str, k: int = 50) -> DataFrame:
+    """Cosine top k of every query vector: a stated set of queries, in blocks that are broadcast, against all rows.
+    Queries of length 0 give no rows; vectors of another dimension than the query's are left out."""
+    asked = queries.select(qkey, F.col(qcolumn).cast("array<double>").alias("__q")).where("__q is not null")
+    asked = asked.withColumn("__qn", V.norm(F.col("__q"))).where("__qn > 0")
+    blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    rows = vectors.select(*keys, F.col(column).cast("array<double>").alias("__v")).withColumn("__n", V.norm(F.col("__v")))
+    score = F.round(V.dot(F.col("__v"), F.col("__q")) / F.col("__qn") / F.when(F.col("__n") == 0, F.lit(1.0)).otherwise(F.col("__n")), 9)
+    out = None
+    for i in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == i) if blocks > 1 else asked
+        met = rows.join(F.broadcast(block), F.size("__v") == F.size("__q")).select(qkey, *keys, score.alias("score"))
+        best = top(met, [F.desc("score"), *map(F.col, keys)], k, [qkey])
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def rrf(lists: list[DataFrame], keys: list[str], k: int = RRF_K, by: list[str] | None = None) -> DataFrame:
+    """Fuse ranked lists (keys, rank, score): (keys, rrf, match_sources, score, position), per question if by names
+    its key.
 
     A key twice in one list counts at both places. score is the one of the first list that has the key; order
     is by rrf, then first list and rank.
     """
-    parts = [x.select(*keys, F.lit(i).alias("list"), "rank", "score") for i, x in enumerate(lists)]
+    by = by or []
+    parts = [x.select(*by, *keys, F.lit(i).alias("list"), "rank", "score") for i, x in enumerate(lists)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    fused = rows.groupBy(*keys).agg(
+    fused = rows.groupBy(*by, *keys).agg(
         F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("rrf"),
         F.array_sort(F.collect_set("list")).alias("match_sources"),
         F.min(F.struct("list", "rank", "score")).alias("first"),
     )
-    fused = fused.select(*keys, F.round("rrf", 6).alias("rrf"), "match_sources", F.col("first.score").alias("score"), F.col("first.list").alias("list"), F.col("first.rank").alias("list_rank"))
-    order = Window.orderBy(F.desc("rrf"), "list", "list_rank")
+    fused = fused.select(*by, *keys, F.round("rrf", 6).alias("rrf"), "match_sources", F.col("first.score").alias("score"), F.col("first.list").alias("list"), F.col("first.rank").alias("list_rank"))
+    order = Window.partitionBy(*by).orderBy(F.desc("rrf"), "list", "list_rank")  # a pool of candidates
     return fused.withColumn("position", F.row_number().over(order).cast("int")).drop("list", "list_rank")
 
 
-def rerank(candidates: DataFrame, question: str, document: Column, scorer: Callable, order: str = "position", top_k: int | None = None) -> DataFrame:
-    """Order by an injected relevance score: scorer(question, document column) -> column, null for no answer.
-    Candidates without an answer keep their places behind the others."""
+def rerank(candidates: DataFrame, question: str | Column, document: Column, scorer: Callable, order: str = "position", top_k: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Order a pool of candidates, one per question if by names its key, by an injected relevance score:
+    scorer(question, document column) -> column, null for no answer. Candidates without an answer keep their places
+    behind the others."""
     rows = candidates.withColumn("rerank", scorer(question, F.substring(document, 1, 2000)))
-    by = Window.orderBy(F.desc_nulls_last("rerank"), order)
-    rows = rows.withColumn(order, F.row_number().over(by).cast("int"))
+    window = Window.partitionBy(*(by or [])).orderBy(F.desc_nulls_last("rerank"), order)
+    rows = rows.withColumn(order, F.row_number().over(window).cast("int"))
     return rows.where(F.col(order) <= top_k) if top_k else rows
 
 
-def overlap_scorer(question: str, document: Column) -> Column:
+def overlap_scorer(question: str | Column, document: Column) -> Column:
     """A deterministic stand-in for a reranking service: share of the question's words found."""
     return F.round(T.word_overlap(F.lit(question), document), 6)
 
 
-def hybrid(lexical: DataFrame, vector: DataFrame | None, keys: list[str], mode: str = "auto") -> tuple[DataFrame, str]:
+def hybrid(lexical: DataFrame, vector: DataFrame | None, keys: list[str], mode: str = "auto", by: list[str] | None = None) -> tuple[DataFrame, str]:
     """Candidates in order, and how they were found. Without vectors, or a vector result, BM25 alone answers."""
-    plain = lambda x: x.select(*keys, F.lit(None).cast("double").alias("rrf"), F.array().cast("array<int>").alias("match_sources"), "score", F.col("rank").alias("position"))
+    plain = lambda x: x.select(*(by or []), *keys, F.lit(None).cast("double").alias("rrf"), F.array().cast("array<int>").alias("match_sources"), "score", F.col("rank").alias("position"))
     if mode == "bm25" or vector is None:
         return plain(lexical), "bm25"
     if mode == "vector":
         return (plain(lexical), "bm25") if vector.isEmpty() else (plain(vector), "vector")
-    return rrf([lexical, vector], keys), "hybrid"
+    return rrf([lexical, vector], keys, by=by), "hybrid"
 
 
 def diversify(ranked: DataFrame, per_doc: int, doc: str = "doc_id", order: str = "position", by: list[str] | None = None) -> DataFrame:
@@ -155,6 +180,6 @@ def evidence_text(rows: DataFrame, by: list[str], header: Column, order: str = "
     return rows.groupBy(*by).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "\n\n").alias("evidence"))
 
 
-def doc_scores(rows: DataFrame, doc: str = "doc_id", score: str = "score") -> DataFrame:
+def doc_scores(rows: DataFrame, doc: str = "doc_id", score: str = "score", by: list[str] | None = None) -> DataFrame:
     """Sum of a document's scores over the square root of one more than their number."""
-    return rows.groupBy(doc).agg(F.round(F.sum(score) / F.sqrt(F.count("*") + 1), 9).alias("doc_score"), F.count("*").alias("n_chunks"))
+    return rows.groupBy(*(by or []), doc).agg(F.round(F.sum(score) / F.sqrt(F.count("*") + 1), 9).alias("doc_score"), F.count("*").alias("n_chunks"))

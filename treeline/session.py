@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -46,3 +46,18 @@ def ship(spark: SparkSession) -> None:
         if root not in sys.path:
             sys.path.insert(0, root)
     sc._treeline_shipped = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder that spark.checkpoint.dir names: what follows starts from its
+    rows, not its plan. Only a local session without that setting gets a folder of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            root = f"file://{tempfile.gettempdir()}/treeline-checkpoints"
+        sc.setCheckpointDir(root)
+    return df.checkpoint(eager=True)
