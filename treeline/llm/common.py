@@ -24,9 +24,11 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         sc = spark.sparkContext
-        root = sc.getConf().get("spark.checkpoint.dir")
-        if root is None:  # only outside a cluster, as in tests
-            import tempfile
+        root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            import tempfile  # one machine, as in tests
 
             root = f"file://{tempfile.gettempdir()}/treeline-checkpoints"
         if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
