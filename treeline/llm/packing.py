@@ -25,7 +25,7 @@ from treeline.llm.token_count import tokenizer
 CAPACITY = 4096
 END_ID = 1
 #: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 350_000
+CACHE_PIECES = 600_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
