@@ -19,6 +19,10 @@ INDEXED = ["title", "breadcrumb", "summary", "text"]
 SCHEMA_VERSION = "1"
 
 
+#: Ranked keys up to which they are broadcast.
+BROADCAST_KEYS = 100_000
+
+
 def manifest_diff(before: DataFrame, now: DataFrame, readable: Column | None = None) -> DataFrame:
     """(path, doc_id, action): add, update, skip or remove, by path, mtime and size. A file that is there but can't be read
     keeps its last good version. now may carry a boolean `ok`."""
@@ -46,8 +50,10 @@ def missing_embeddings(nodes: DataFrame, embeddings: DataFrame, keys: list[str])
 
 
 def rows_for_keys(nodes: DataFrame, ranked: DataFrame, keys: list[str], order: str = "rank") -> DataFrame:
-    """Full rows of ranked keys, in rank order; text is fetched for these only. ranked is a top-k, so small."""
-    return F.broadcast(ranked).join(nodes, keys).orderBy(order)
+    """Full rows of ranked keys, in rank order; text is fetched for these only. A top-k is small; a larger ranking
+    is joined by shuffle."""
+    small = ranked.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return (F.broadcast(ranked) if small else ranked).join(nodes, keys).orderBy(order)
 
 
 def missing_then_delete(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:

@@ -302,8 +302,10 @@ def expand_large(nodes: DataFrame, pages: DataFrame, split, rounds: int = 8, **l
         kids = split(big, pages)
         if kids.isEmpty():
             break
-        top = done.agg(F.max("seq")).first()[0] or 0
-        kids = kids.withColumn("seq", (F.lit(top) + F.row_number().over(Window.orderBy("doc_id", "parent_seq", "start_index"))).cast("int")).withColumn("generation", F.lit(turn))
+        # New nodes are numbered after the others of their document.
+        top = done.groupBy("doc_id").agg(F.max("seq").alias("__top"))
+        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_seq", "start_index"))
+        kids = kids.join(top, "doc_id").withColumn("seq", (F.col("__top") + nth).cast("int")).drop("__top").withColumn("generation", F.lit(turn))
         first = kids.groupBy("doc_id", F.col("parent_seq").alias("seq")).agg(F.min("start_index").alias("__first"))
         done = done.join(first, ["doc_id", "seq"], "left").withColumn("end_index", F.coalesce("__first", "end_index")).drop("__first")
         done = done.unionByName(kids, allowMissingColumns=True)
