@@ -109,3 +109,16 @@ def test_rows_for_large_rankings(spark, monkeypatch):
     want = [r.text for r in index.rows_for_keys(nodes, ranked, ["k"]).collect()]
     monkeypatch.setattr(index, "BROADCAST_KEYS", 3)
     assert [r.text for r in index.rows_for_keys(nodes, ranked, ["k"]).collect()] == want == [f"t{i}" for i in reversed(range(10))]
+
+
+def test_budgets():
+    from treeline.functions.budgets import Server
+
+    hosted, own = Server.of("gpt"), Server.of("litellm/vllm/some")
+    assert (hosted.group_tokens(), hosted.summary_tokens(), hosted.answer_tokens(10**6)) == (20000, None, None)
+    assert own.group_tokens() == min(16384 - 2048 - 256 - 1600, 8192) and own.summary_tokens() == 16384 - 2048 - 256 - 256 - 80
+    assert own.answer_tokens(1000) == 2048 and own.answer_tokens(16384 - 256 - 300) == 300
+    with pytest.raises(ValueError):
+        own.answer_tokens(16384 - 256 - 255)
+    small = Server.of("hosted_vllm/x", {"context": 3000, "output": 0, "margin": 0})
+    assert (small.group_tokens(), small.summary_tokens(), small.answer_tokens(10)) == (2000, 1024, None)
