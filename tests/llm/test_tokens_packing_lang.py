@@ -168,3 +168,14 @@ def test_packing_repeated_null_ids(spark):
     rows = [(None, "one two", "en", "", 1), (None, "one two", "en", "", 1), (None, None, None, None, None)]
     out = packing.pack(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.length for r in out) == [1, 3, 3] and {r.sequence_id for r in out} == {out[0].sequence_id}
+
+
+def test_other_operators_tasks_free_what_packing_keeps():
+    from treeline.llm import common
+
+    packing.word_ids("word_bpe_49k.json").texts(["some words"])
+    list(common.tidy(iter, "packing")([]))
+    assert packing._WORD_IDS
+    list(common.tidy(iter)([]))
+    assert not packing._WORD_IDS
+    assert packing.word_ids("word_bpe_49k.json").texts(["some words"])[0]

@@ -74,10 +74,25 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
-def tidy(run):
-    """A batch function that gives its freed memory back when its task ends; workers are kept for later tasks."""
+#: What operators keep in a Python worker between their tasks, by name.
+KEPT: dict[str, dict] = {}
+
+
+def release(but: str | None = None) -> None:
+    """Free what other operators keep in this worker."""
+    for name, kept in KEPT.items():
+        if name != but:
+            kept.clear()
+
+
+def tidy(run, keeps: str | None = None):
+    """A batch function that frees what other operators keep when its task begins, and gives freed memory back when it
+    ends; workers are kept for later tasks."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from treeline.llm import common  # the worker's own module, not a copy of its names
+
+        common.release(keeps)
         try:
             yield from run(batches)
         finally:

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.llm.common import Workspace, id_text, slices, tidy
+from treeline.llm.common import KEPT, Workspace, id_text, slices, tidy
 from treeline.llm.token_count import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
 #: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 450_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -99,6 +99,7 @@ class WordIds(dict):
 
 
 _WORD_IDS: dict[str, WordIds] = {}
+KEPT["packing"] = _WORD_IDS
 
 
 def word_ids(vocabulary: str) -> WordIds:
@@ -172,7 +173,7 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return id_text(docs).mapInArrow(tidy(run), PIECES)
+    return id_text(docs).mapInArrow(tidy(run, "packing"), PIECES)
 
 
 def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
