@@ -53,6 +53,23 @@ def test_components_equal_brute_force(spark, seed, words, num):
     assert got == brute(rows, words, num, 100)
 
 
+@pytest.mark.parametrize("sample,least", [(2000, 1), (7, 3), (0, 1)])
+def test_hot_signatures_have_the_same_centres(spark, monkeypatch, sample, least):
+    r = random.Random(sample)
+    rows = [(r.randrange(1000), [r.randrange(40) for _ in range(r.randrange(6))]) for _ in range(300)] + [(5, None)]
+    rows += [(i, [99]) for i in range(200)]
+    monkeypatch.setattr(jaccard, "HOT_SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "HOT_NODES", least)
+    got = {(x.fp, x.centre): x.votes for x in jaccard._shared(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, fp long, sigs array<long>").repartition(3)).collect()}
+    met = [(fp, s) for fp, sigs in rows for s in sigs or []]
+    centre = {s: min(fp for fp, o in met if o == s) for _, s in met}
+    want = {}
+    for fp, s in met:
+        if fp != centre[s]:
+            want[fp, centre[s]] = want.get((fp, centre[s]), 0) + 1
+    assert got == want
+
+
 def test_hot_group_and_nulls(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP", 10)
     r = random.Random(5)

@@ -45,6 +45,8 @@ NARROW, WIDE = 64, 1024
 STEP, ROWS = 1 << 17, 8192
 #: Common elements: in this share of a sample of so many documents (smallest by hash of the id).
 COMMON_SHARE, COMMON_SAMPLE = 0.05, 2000
+#: Hot signatures: those of so many nodes in a sample (smallest by hash of the id); a list of a bounded size.
+HOT_SAMPLE, HOT_NODES = 2000, 20
 #: Nodes a task checks against one centre, about.
 GROUP = 128
 #: Nodes of a group that a task compares with as many others, about.
@@ -292,6 +294,27 @@ def _star(stars: DataFrame, sets: DataFrame, num: int, den: int, work: Workspace
     return rows.select("fp", "elements", "centre", "salt", "role").mapInArrow(tidy(run), "fp long, centre long, linked boolean")
 
 
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(fp, centre, votes): how many signatures a node shares with each bucket's centre, its smallest node. A window
+    finds it, and for signatures that are hot in the sample, a broadcast minimum: no task takes a large share of all
+    nodes. The sample decides how rows are dealt, never what results."""
+    sig = F.explode("sigs").alias("sig")
+    sample = nodes.where(F.size("sigs") > 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(HOT_SAMPLE).dropDuplicates(["fp"])
+    hot = sample.select(sig).groupBy("sig").count().where(F.col("count") >= HOT_NODES).select("sig")
+    hot = [r["sig"] for r in hot.collect()]  # signatures of a set * HOT_SAMPLE / HOT_NODES at most
+    buckets = nodes.select("fp", sig)
+    centre = F.first("fp").over(Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
+    if hot:
+        listed = F.broadcast(nodes.sparkSession.createDataFrame([(x,) for x in hot], "sig long"))
+        those = buckets.join(listed, "sig", "left_semi")
+        least = those.groupBy("sig").agg(F.min("fp").alias("centre"))
+        met = buckets.join(listed, "sig", "left_anti").withColumn("centre", centre)
+        met = met.select("fp", "centre").unionByName(those.join(F.broadcast(least), "sig").select("fp", "centre"))
+    else:
+        met = buckets.withColumn("centre", centre)
+    return met.where("fp <> centre").groupBy("fp", "centre").agg(F.count("*").alias("votes"))
+
+
 def _whole(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Rows sorted by keys, some ROWS at a time but never a group divided, with the places where groups begin."""
 
@@ -417,10 +440,7 @@ def join(docs: DataFrame, words: int = 4, num: int = 85, den: int = 100) -> Data
     texts = id_text(docs)
     signed = work.table(_signed(texts, words, num, den, _common(texts, words)), "signed")
     linkable = signed.where("n > 0 and doc_id is not null")
-    buckets = linkable.select("fp", F.explode("sigs").alias("sig"))
-    centre = F.first("fp").over(Window.partitionBy("sig").orderBy("fp").rowsBetween(Window.unboundedPreceding, 0))
-    shared = buckets.withColumn("centre", centre).where("fp <> centre").groupBy("fp", "centre")
-    shared = work.table(shared.agg(F.count("*").alias("votes")), "shared")
+    shared = work.table(_shared(linkable.select("doc_id", "fp", "sigs")), "shared")
     nodes = work.table(shared.select("fp").unionByName(shared.select(F.col("centre").alias("fp"))).distinct(), "nodes")
     info = signed.where(F.length("sketch") > 0).join(nodes, "fp", "left_semi").groupBy("fp")
     info = work.table(info.agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "info")
