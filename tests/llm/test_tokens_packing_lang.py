@@ -179,3 +179,17 @@ def test_other_operators_tasks_free_what_packing_keeps():
     list(common.tidy(iter)([]))
     assert not packing._WORD_IDS
     assert packing.word_ids("word_bpe_49k.json").texts(["some words"])[0]
+
+
+def test_packing_encodes_long_texts_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "PART_CHARS", 50)
+    monkeypatch.setattr(packing, "LEARNED", 7)
+    tok = token_count.tokenizer("word_bpe_49k.json")
+    draw = random.Random(4)
+    words = ["it's", "Don'T", "naïve", "É", "e\u0301", "Ⱥ!", "12", "a" * 300, "<|endoftext|>", "日本", "--", "\u0301x", "ΑΣ"]
+    texts = ["", " " * 200, "b" * 500]
+    texts += ["".join(draw.choice(words) + draw.choice([" ", "\n", "\t\r ", "\u00a0", ""]) for _ in range(draw.randrange(60))) for _ in range(200)]
+    assert max(len(list(packing.parts(t))) for t in texts) > 5
+    assert all("".join(packing.parts(t)) == t for t in texts)
+    found = packing.WordIds(tok, draw.choice([5, 1000])).texts(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [tok.encode(t, add_special_tokens=False).ids for t in texts]

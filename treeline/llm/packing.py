@@ -24,8 +24,12 @@ from treeline.llm.token_count import tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-#: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each).
-CACHE_PIECES = 450_000
+#: Distinct word pieces whose ids a Python worker keeps (about 200 bytes each), unless told otherwise.
+CACHE_PIECES = 600_000
+#: New pieces encoded together: what the library returns of a token takes some 250 bytes.
+LEARNED = 8192
+#: Characters from which a text is encoded in parts.
+PART_CHARS = 1 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -36,20 +40,21 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task
 _LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
 _CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_DIGITS}{_LETTERS}]+").findall
 _OTHER = re.compile(r"[^ -~\n\r\t¡-ÖØ-öø-įı-ɏ]|<\|").search
+_BLANK = re.compile(r"[ \n\r\t]").search
 
 
 class WordIds(dict):
     """Piece -> ids as little-endian unsigned 32-bit bytes; texts() gives those of whole texts.
 
     The vocabulary drops white space, lower-cases and merges within pieces only, so a text's ids are those of
-    its pieces in order. Pieces repeat far more than texts: the first CACHE_PIECES met are kept, others
+    its pieces in order. Pieces repeat far more than texts: the first met, up to a number, are kept, others
     as long as a slice of texts needs them. A piece counts as known only if the library, too, took it for one word;
-    a text with any other piece goes to the library whole.
+    a text with any other piece goes to the library whole. Which pieces are kept never changes ids.
     """
 
-    def __init__(self, tok):
+    def __init__(self, tok, most: int = CACHE_PIECES):
         super().__init__()
-        self.tok, self.passing = tok, {}
+        self.tok, self.most, self.passing = tok, most, {}
 
     def __missing__(self, piece: str) -> bytes | None:
         return self.passing[piece]
@@ -78,7 +83,7 @@ class WordIds(dict):
             self._learn(new[: len(new) // 2])
             self._learn(new[len(new) // 2 :])
             return
-        into = self if len(self) + len(new) <= CACHE_PIECES else self.passing
+        into = self if len(self) + len(new) <= self.most else self.passing
         into.update(zip(new, found))
 
     def _ids(self, text: str, cut: list[str] | None) -> bytes:
@@ -88,25 +93,43 @@ class WordIds(dict):
             return self.library(text)
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text. Long texts are encoded part by part, so that memory holds one part's pieces."""
+        if max(map(len, texts), default=0) <= PART_CHARS:
+            return self._together(texts)
+        return [b"".join(self._together([p])[0] for p in parts(t)) for t in texts]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
         cut = []
         for t in texts:
             low = t.lower()
             cut.append(None if _OTHER(low) or not t.isascii() and _OTHER(t) else _CUT(low))
         self.passing = {}
-        if new := [p for p in set().union(*filter(None, cut)) if p not in self]:
-            self._learn(new)
+        new = [p for p in set().union(*filter(None, cut)) if p not in self]
+        for i in range(0, len(new), LEARNED):
+            self._learn(new[i : i + LEARNED])
         return list(map(self._ids, texts, cut))
 
 
-_WORD_IDS: dict[str, WordIds] = {}
+def parts(text: str) -> Iterator[str]:
+    """A text divided at ASCII white space, which lies between words, into parts of PART_CHARS or a little more. An
+    endless word is not divided."""
+    begin = 0
+    while (found := _BLANK(text, begin + PART_CHARS)) is not None:
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:]
+
+
+_WORD_IDS: dict[tuple[str, int], WordIds] = {}
 KEPT["packing"] = _WORD_IDS
 
 
-def word_ids(vocabulary: str) -> WordIds:
+def word_ids(vocabulary: str, most: int = CACHE_PIECES) -> WordIds:
     """Once per vocabulary and Python worker."""
-    if vocabulary not in _WORD_IDS:
-        _WORD_IDS[vocabulary] = WordIds(tokenizer(vocabulary))
-    return _WORD_IDS[vocabulary]
+    if (vocabulary, most) not in _WORD_IDS:
+        _WORD_IDS.clear()
+        _WORD_IDS[vocabulary, most] = WordIds(tokenizer(vocabulary), most)
+    return _WORD_IDS[vocabulary, most]
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -147,7 +170,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHE_PIECES
+) -> DataFrame:
     """One row per piece, with its task and its place among the task's pieces of equal length."""
     end = np.asarray([end_id], "<u4").tobytes()
 
@@ -155,10 +180,10 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        encode = word_ids(vocabulary).texts
+        encode = word_ids(vocabulary, cached).texts
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
+            for part in slices(batch):
                 out: list[tuple] = []
                 for doc, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text").to_pylist())):
                     ids += end
@@ -176,15 +201,18 @@ def pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int
     return id_text(docs).mapInArrow(tidy(run, "packing"), PIECES)
 
 
-def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(
+    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHE_PIECES
+) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of docs.
 
     A null or empty text is one piece holding the end id alone; repeated rows are packed each; an empty
-    table gives no rows; other columns are ignored. Only texts over the capacity are cut.
+    table gives no rows; other columns are ignored. Only texts over the capacity are cut. A worker keeps the ids of
+    so many cached word pieces; the number trades memory for time and changes no result.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
-    cut = work.table(pieces(docs, vocabulary, capacity, end_id), "pieces")
+    cut = work.table(pieces(docs, vocabulary, capacity, end_id, cached), "pieces")
     # Rank within a length = pieces of that length in earlier tasks + place in the own task: no window over pieces.
     counts = cut.groupBy("length", "task").agg(F.count("*").alias("many"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
