@@ -15,6 +15,8 @@ from treeline.llm import decontaminate, jaccard, packing, suffix_dedup, toxicity
 from treeline.llm.common import Workspace
 
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
+#: Word pieces a worker keeps while packing: fewer than alone, as the executors' heaps are full by then.
+CACHED_PIECES = 250_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces and their places in training sequences. A null or empty text is a piece of the end id alone; repeated
     rows and null ids have pieces each."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=CACHED_PIECES)
 
 
 STAGES = [
