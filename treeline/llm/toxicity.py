@@ -203,9 +203,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
     shape = (2, 2, FOLDS)  # tokens and texts, clean and toxic, folds
     totals = np.array([x or 0 for x in sums.agg(*(F.sum(n) for n in _COUNTS)).first()], float).reshape(shape)[0] / UNIT
     seen = sum((F.col(n) for n in _COUNTS[len(_COUNTS) // 2 :]), F.lit(0))
-    rows = sums.where(seen >= MIN_TEXTS * (UNIT - SAMPLE_PER_LABEL)).orderBy("word").toPandas()  # words of the bounded sample
-    vocabulary = rows["word"].tolist()
-    counts = rows[_COUNTS].to_numpy(float).reshape(-1, *shape) / UNIT
+    rows = sums.where(seen >= MIN_TEXTS * (UNIT - SAMPLE_PER_LABEL)).orderBy("word").toArrow()  # words of the bounded sample
+    vocabulary = rows["word"].to_pylist()
+    counts = np.stack([rows[n].to_numpy() for n in _COUNTS], 1).reshape(-1, *shape) / UNIT
 
     def model(left_out: int | None) -> Model:
         kept = [f for f in range(FOLDS) if f != left_out]
@@ -225,8 +225,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
                 top.append(parts[part].lam * max((x[2] for x in parts[part].found(tokens)), default=0.0))
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.float64()), pa.array(top, pa.float64()), b.column("weight")], names=["n", "top", "weight"])
 
-    clean = texts.where("label = 0").mapInArrow(tidy(best), "n double, top double, weight double").toPandas()  # bounded, too
-    k = fit_k(*(clean.sort_values(["top", "n", "weight"])[c].to_numpy(float) for c in ("n", "top", "weight")))
+    clean = texts.where("label = 0").mapInArrow(tidy(best), "n double, top double, weight double").toArrow()  # bounded, too
+    clean = clean.sort_by([(c, "ascending") for c in ("top", "n", "weight")])
+    k = fit_k(*(clean[c].to_numpy() for c in ("n", "top", "weight")))
     for m in (out, *parts):
         m.k = k
 
@@ -235,9 +236,9 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, s
             got = [parts[f].passages(words(t))[1] for f, t in zip(b.column("fold").to_pylist(), b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column("label"), b.column("weight")], names=["raw", "label", "weight"])
 
-    scored = texts.mapInArrow(tidy(evidence), "raw double, label int, weight double").toPandas()  # bounded by the sample
-    scored = scored.sort_values(["raw", "label", "weight"])
-    out.knots = calibration.isotonic(*(scored[c].to_numpy(float) for c in ("raw", "label")), bins=64, weights=scored["weight"].to_numpy(float))
+    scored = texts.mapInArrow(tidy(evidence), "raw double, label int, weight double").toArrow()  # bounded by the sample
+    raw, label, weight = (scored.sort_by([(c, "ascending") for c in ("raw", "label", "weight")])[c].to_numpy() for c in ("raw", "label", "weight"))
+    out.knots = calibration.isotonic(raw, label.astype(float), bins=64, weights=weight)
     return out
 
 
