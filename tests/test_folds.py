@@ -162,6 +162,52 @@ def test_codes_to_tree_of_random_codes(spark):
                 assert x.parent_seq is None and x.depth == 0
 
 
+def test_codes_to_tree_of_many_documents(spark):
+    """Documents that straddle Arrow batches, null keys and codes; no call of Python per document."""
+    r = random.Random(11)
+    code = lambda: r.choice([None, "", ".".join(str(r.randint(1, 3)) for _ in range(r.randint(1, 5)))])
+    page = lambda: r.choice([None, r.randint(1, 9)])
+    rows = [(d, i, code(), r.choice([None, f"t{i}"]), page(), page()) for d in [None, *range(60)] for i in range(r.randint(1, 12))]
+    want = []
+    for d in [None, *range(60)]:
+        nodes, latest = [], {}  # [code, title, start, end, parent, synthesized]
+        for _, _, c, t, a, b in (x for x in rows if x[0] == d):
+            parts = (c or "").split(".")
+            above = [".".join(parts[:n]) for n in range(1, len(parts))]
+            have = max((n for n, p in enumerate(above) if p in latest), default=None)
+            up = None if have is None else latest[above[have]]
+            for p in [] if have is None else above[have + 1 :]:
+                latest[p], up = len(nodes), (nodes.append([p, f"Section {p}", a, b, up, True]), len(nodes) - 1)[1]
+            if c is not None:
+                latest[c] = len(nodes)
+            nodes.append([c, t, a, b, up, False])
+        kids = {i: [j for j, x in enumerate(nodes) if x[4] == i] for i in [None, *range(len(nodes))]}
+        for i in reversed(range(len(nodes))):
+            for field, pick in ((2, min), (3, max)) if nodes[i][5] else ():
+                nodes[i][field] = pick((nodes[j][field] for j in kids[i] if nodes[j][field] is not None), default=nodes[i][field])
+        number = {}
+
+        def walk(i, depth):
+            number[i] = len(number)
+            c, t, a, b, up, made = nodes[i]
+            want.append((d, number[i], number.get(up), depth, c, t, a, b, made))
+            for j in kids[i]:
+                walk(j, depth + 1)
+
+        for i in kids[None]:
+            walk(i, 0)
+    r.shuffle(rows)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = tree.codes_to_tree(spark.createDataFrame(rows, "doc_id long, seq int, structure string, title string, start_index int, end_index int"))
+        assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+        order = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_page_trees_fall_back_to_headings(spark):
     from treeline.plans import build
 

@@ -6,6 +6,7 @@ is not deeper.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -203,50 +204,77 @@ def codes_to_tree(items: DataFrame) -> DataFrame:
 
     A parent is the latest earlier item with the nearest existing prefix of the code; without any, the item is a
     root. Gaps below an existing ancestor are filled with 'Section <code>' rows that span their children. What exists
-    depends on what was filled before, so it is a fold over each document's items.
+    depends on what was filled before, so it is a fold over each document's items. Documents stream through the
+    workers in sorted runs, as a call per document costs more than most documents' folds.
     """
-    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    def fold(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
+    fields = ("doc_id", "seq", "structure", "title", "start_index", "end_index")
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([("doc_id", to_arrow_type(items.schema["doc_id"].dataType)), *[(n, kinds[k]) for n, k in (f.split() for f in CODE_TREE.split(", "))]])
+    batch_rows = 10_000
+
+    def fold(doc, found) -> list[tuple]:
+        codes, titles, starts, ends, ups, made, below = [], [], [], [], [], [], []
         latest: dict[str, int] = {}
 
-        def add(code, title, start, end, up, made) -> int:
-            rows.append({"structure": code, "title": title, "start_index": start, "end_index": end, "up": up, "synthesized": made, "below": []})
+        def add(code, title, start, end, up, filled) -> int:
+            at = len(codes)
+            for column, value in zip((codes, titles, starts, ends, ups, made, below), (code, title, start, end, up, filled, None)):
+                column.append(value)
             if up is not None:
-                rows[up]["below"].append(len(rows) - 1)
+                if below[up] is None:
+                    below[up] = []
+                below[up].append(at)
             if code is not None:
-                latest[code] = len(rows) - 1
-            return len(rows) - 1
-
-        for r in frame.sort_values("seq").to_dict("records"):
-            code = r["structure"] if isinstance(r["structure"], str) else None
-            parts = code.split(".") if code else []
-            prefixes = [".".join(parts[:n]) for n in range(len(parts) - 1, 0, -1)]
-            have = next((i for i, p in enumerate(prefixes) if p in latest), None)
-            up = None if have is None else latest[prefixes[have]]
-            for p in reversed(prefixes[:have] if have else []):
-                up = add(p, f"Section {p}", r["start_index"], r["end_index"], up, True)
-            add(code, r["title"], r["start_index"], r["end_index"], up, False)
-        for row in reversed(rows):  # children come after their parents
-            if row["synthesized"]:
-                for field, pick in (("start_index", min), ("end_index", max)):
-                    known = [rows[c][field] for c in row["below"] if not pd.isna(rows[c][field])]
-                    row[field] = pick(known) if known else row[field]
-        out, stack, number = [], [(i, 0) for i in reversed(range(len(rows))) if rows[i]["up"] is None], {}
+                latest[code] = at
+            return at
+
+        for _, _, code, title, start, end in found:
+            up, gaps, head = None, [], code or ""
+            while "." in head:
+                head = head[: head.rindex(".")]
+                if head in latest:
+                    up = latest[head]
+                    break
+                gaps.append(head)
+            if up is not None:
+                for p in reversed(gaps):
+                    up = add(p, f"Section {p}", start, end, up, True)
+            add(code, title, start, end, up, False)
+        for i in reversed(range(len(codes))):  # children come after their parents
+            if made[i]:
+                for column, pick in ((starts, min), (ends, max)):
+                    known = [column[c] for c in below[i] if column[c] is not None]
+                    column[i] = pick(known) if known else column[i]
+        out, stack, number = [], [(i, 0) for i in reversed(range(len(codes))) if ups[i] is None], {}
         while stack:
             i, depth = stack.pop()
             number[i] = len(out)
-            out.append({**rows[i], "node_seq": number[i], "parent_seq": number.get(rows[i]["up"]), "depth": depth})
-            stack += [(c, depth + 1) for c in reversed(rows[i]["below"])]
-        result = pd.DataFrame(out).drop(columns=["up", "below"])
-        result.insert(0, "doc_id", key[0])
-        ints = ("node_seq", "parent_seq", "depth", "start_index", "end_index")
-        return result.astype({c: "Int32" for c in ints})[["doc_id", *[f.split()[0] for f in CODE_TREE.split(", ")]]]
+            out.append((doc, number[i], number.get(ups[i]), depth, codes[i], titles[i], starts[i], ends[i], made[i]))
+            if below[i]:
+                stack += [(c, depth + 1) for c in reversed(below[i])]
+        return out
 
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches):
+        rows = (r for b in batches for r in zip(*[b.column(f).to_pylist() for f in fields]))
+        out: list[tuple] = []
+        for doc, found in itertools.groupby(rows, key=lambda r: r[0]):
+            out += fold(doc, found)
+            if len(out) >= batch_rows:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
+
+    pages = [F.col(c).cast("int").alias(c) for c in ("start_index", "end_index")]
+    rows = items.select("doc_id", "seq", "structure", "title", *pages).repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("seq"))
     kind = items.schema["doc_id"].dataType.simpleString()
-    rows = items.select("doc_id", "seq", "structure", "title", "start_index", "end_index")
-    return rows.groupBy("doc_id").applyInPandas(fold, f"doc_id {kind}, {CODE_TREE}")
+    return rows.mapInArrow(run, f"doc_id {kind}, {CODE_TREE}")
 
 
 def assign_spans(items: DataFrame, ends: DataFrame) -> DataFrame:
