@@ -5,7 +5,9 @@ import random
 
 import pytest
 
+from treeline.functions import text as T
 from treeline.operators import pages, toc, tree
+from treeline.plans import seam
 
 
 def loop_groups(tokens, limit, overlap):
@@ -216,6 +218,48 @@ def test_page_trees_fall_back_to_headings(spark):
     assert [(x.title, x.start_index) for x in got] == [(f"Heading number {'abcdef'[n]}", n) for n in range(1, 6)]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_first_pages(spark, seed):
+    """As title_at_start says of every page in reach: titles that begin alike or are repeated, late and cut ones, nulls."""
+    r = random.Random(seed)
+    words = ["Chapter", "Chap", "ter", "a", "B-2", "customer 01", "customer 012", "x" * 70, "ﬁ"]
+    text = lambda most: " ".join(r.choice(words) for _ in range(r.randint(0, most)))
+    pages_ = [(d, n, r.choice([None, text(3), text(60), "z" * r.randint(140, 180) + text(4), "z" * r.randint(1480, 1500) + text(2)])) for d in range(3) for n in range(1, 25)]
+    titles = [None, "", "--", "absent title"] + [text(3) for _ in range(30)]
+    rows = [(d, i, t, r.choice([-1, 1, r.randint(1, 24)]), r.choice([toc.FAR, r.randint(1, 24)])) for d in range(4) for i, t in enumerate(titles + titles)]
+    pages_ = spark.createDataFrame(pages_, "doc_id int, page_no int, page_text string").cache()
+    rows = spark.createDataFrame(rows, "doc_id int, seq int, title string, prev_index int, next_index int").cache()
+    tried = toc.candidate_pages(rows, pages_).where(T.title_at_start("title", "page_text") == "yes")
+    want = {}
+    for x in tried.collect():
+        want[x.doc_id, x.seq] = min(x.page_no, want.get((x.doc_id, x.seq), x.page_no))
+    got = toc.first_pages(rows, pages_)
+    assert got.schema["page_no"].dataType == pages_.schema["page_no"].dataType
+    assert {(x.doc_id, x.seq): x.page_no for x in got.collect()} == want and len(want) > 30
+
+
+def test_titles_are_not_tried_on_every_page(spark, monkeypatch):
+    """Neither search spells out the pages within reach of an item: that is the square of a long book's pages."""
+    monkeypatch.setattr(toc, "candidate_pages", None)
+    pages_ = spark.createDataFrame([(1, n, f"Title {n}\nx") for n in range(1, 9)], "doc_id int, page_no int, page_text string")
+    items = spark.createDataFrame([(1, i, f"Title {i + 1}", i + 1 if i % 2 else None) for i in range(8)], "doc_id int, seq int, title string, physical_index int")
+    assert {x.seq: x.physical_index for x in seam.find_indices(items, pages_).collect()} == {i: i + 1 for i in range(8)}
+    moved = spark.createDataFrame([(1, i, f"Title {i + 1}", 4 if i == 4 else i + 1) for i in range(8)], "doc_id int, seq int, title string, physical_index int")
+    got = toc.repair(moved, moved.where("seq = 4"), pages_).collect()
+    assert {x.seq: x.physical_index for x in got} == {i: i + 1 for i in range(8)}
+
+
+def test_long_contents_are_repaired_throughout(spark):
+    """More than 200 entries, every tenth with the page after its own: all are verified, not a sample."""
+    from treeline.plans import build
+
+    n = 260
+    contents = "Contents\n" + "\n".join(f"{k + 1} Person{k:04d} ........ {k + 1 + (k % 10 == 9)}" for k in range(n))
+    pages_ = [(1, 1, "A cover"), (1, 2, contents)] + [(1, k + 3, f"Person{k:04d}\nand more") for k in range(n)]
+    got = build.page_trees(spark.createDataFrame(pages_, "doc_id int, page_no int, page_text string")).collect()
+    assert {x.title: x.start_index for x in got} == {"Preface": 1, **{f"Person{k:04d}": k + 3 for k in range(n)}}
+
+
 def test_configurations_are_compared(spark):
     from treeline.plans import build
 

@@ -94,9 +94,18 @@ def title_key(text: Column | str) -> Column:
     return F.regexp_replace(F.lower(without_ligatures(text)), "[^a-z0-9]+", "")
 
 
-def title_at_start(title: Column | str, page: Column | str, window: int = 1500, latest: int = 160) -> Column:
+# How much of a page is searched for a title, and how late in it, in letters and digits, a title may begin.
+PAGE_WINDOW, LATEST = 1500, 160
+
+
+def page_key(page: Column | str, window: int = PAGE_WINDOW) -> Column:
+    """Letters a-z and digits of a page's head."""
+    return title_key(F.substring(F.coalesce(col(page), F.lit("")), 1, window))
+
+
+def title_at_start(title: Column | str, page: Column | str, window: int = PAGE_WINDOW, latest: int = LATEST) -> Column:
     """'yes' if the title begins near the page's start, 'no' if later, null if it is not in the window at all."""
-    t, p = title_key(title), title_key(F.substring(F.coalesce(col(page), F.lit("")), 1, window))
+    t, p = title_key(title), page_key(page, window)
     at = F.position(t, p)
     return F.when((t == "") | (p == "") | (at == 0), F.lit(None).cast("string")).when(at - 1 <= latest, "yes").otherwise("no")
 

@@ -17,7 +17,8 @@ def _before():
 
 
 def _after():
-    return _by().rowsBetween(1, Window.unboundedFollowing)
+    """What follows a row, nearest last. Backwards, as frames that end at the last row cost the square of the rows."""
+    return Window.partitionBy("doc_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 FAR = 2**31 - 1
@@ -135,7 +136,7 @@ def filled_neighbours(items: DataFrame, before: int | Column = 1, after: int | C
     """items with prev_index and next_index: the nearest filled (and usable) physical_index on either side."""
     value = F.col("physical_index") if usable is None else F.when(usable, F.col("physical_index"))
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return items.withColumn("prev_index", F.coalesce(F.last(value, True).over(_before()), lit(before))).withColumn("next_index", F.coalesce(F.first(value, True).over(_after()), lit(after)))
+    return items.withColumn("prev_index", F.coalesce(F.last(value, True).over(_before()), lit(before))).withColumn("next_index", F.coalesce(F.last(value, True).over(_after()), lit(after)))
 
 
 def feasible(items: DataFrame, least: int | None, most: int | None) -> DataFrame:
@@ -154,6 +155,40 @@ def candidate_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return span.join(pages, ["doc_id", "page_no"])
 
 
+def first_pages(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, seq, page_no): of every row the first page from prev_index to next_index with its title at the head, as
+    T.title_at_start says.
+
+    Rows and pages meet by equality alone, first on the longest beginning of a title whose length is a power of two,
+    then on the whole title; the first page at or after prev_index is a running minimum. So work is linear in rows and in pages
+    times places where a title may begin, however many rows search the same pages.
+    """
+    rows = rows.select("doc_id", "seq", "prev_index", "next_index", T.title_key("title").alias("__t")).where("__t <> ''")
+    size = F.length("__t")
+    seed = F.expr("cast(pow(2, length(bin(length(__t))) - 1) as int)")
+    titles = rows.select("doc_id", "__t").distinct().withColumn("__k", seed)
+    sizes = titles.groupBy("doc_id").agg(F.collect_set("__k").alias("__ks"))
+    seeds = titles.groupBy("doc_id", "__k", F.expr("substring(__t, 1, __k)").alias("__seed")).agg(F.collect_set(size).alias("__sizes"))
+    heads = pages.where("page_no is not null").select("doc_id", F.col("page_no").cast("long").alias("page_no"), T.page_key("page_text").alias("__p")).where("__p <> ''")
+
+    def places(k: Column) -> Column:
+        """Where a title of k letters or more may begin, with as much of the page as the longest of them takes."""
+        last = F.least(F.lit(T.LATEST + 1), F.length("__p") - k + 1)
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(k.alias("k"), F.substring(F.col("__p"), i, 2 * k - 1).alias("x")))
+
+    fitting = F.filter("__ks", lambda k: k <= F.length("__p"))
+    near = heads.join(sizes, "doc_id").select("doc_id", "page_no", F.explode(F.array_distinct(F.flatten(F.transform(fitting, places)))).alias("__at"))
+    near = near.select("doc_id", "page_no", F.col("__at.k").alias("__k"), F.col("__at.x").alias("__x")).withColumn("__seed", F.expr("substring(__x, 1, __k)"))
+    whole = F.transform(F.filter("__sizes", lambda n: n <= F.length("__x")), lambda n: F.substring(F.col("__x"), F.lit(1), n))
+    found = near.join(seeds, ["doc_id", "__k", "__seed"]).select("doc_id", F.explode(whole).alias("__t"), F.col("page_no").alias("__from"), "page_no")
+    searched = rows.select("doc_id", "__t", F.col("prev_index").cast("long").alias("__from"), "seq", "next_index")
+    # Descending, a range up to the current row holds every page at or after it, its own included.
+    onward = Window.partitionBy("doc_id", "__t").orderBy(F.desc("__from")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    met = searched.unionByName(found, allowMissingColumns=True).withColumn("page_no", F.min("page_no").over(onward))
+    met = met.where("seq is not null and page_no <= coalesce(next_index, page_no)")
+    return met.groupBy("doc_id", "seq").agg(F.min("page_no").cast(pages.schema["page_no"].dataType).alias("page_no"))
+
+
 def without_index(items: DataFrame) -> DataFrame:
     return items.where("physical_index is not null")
 
@@ -197,16 +232,16 @@ def offset_score(items: DataFrame, pages: DataFrame, offset: int, n: int = 10) -
     return rows.select("doc_id", F.when(F.col("scored") > 0, F.round(F.col("yes") / F.col("scored"), 6)).otherwise(F.lit(0.0)).alias("score"), "scored")
 
 
-def verify(items: DataFrame, pages: DataFrame, sample: int | None = None, answers: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def verify(items: DataFrame, pages: DataFrame, sample: int | None = None, answers: Column | None = None, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """((doc_id, accuracy, checked), incorrect items). Documents whose last index is missing or in the first half score
-    0 unseen. More than 200 items are checked by 40 of them unless told otherwise."""
+    0 unseen. More than 200 items are checked by 40 of them unless told otherwise: by a sample, or every one."""
     last = items.groupBy("doc_id").agg(F.max(F.when(F.col("physical_index").isNotNull(), F.struct("seq", "physical_index")))["physical_index"].alias("last"), F.count("*").alias("n"))
     counts = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
     seen = last.join(counts, "doc_id", "left").withColumn("skip", F.col("last").isNull() | (F.col("last") < F.col("n_pages") / 2))
     rows = items.where("physical_index is not null").join(seen.where("not skip").select("doc_id", F.col("n").alias("__n")), "doc_id")
     if sample:
         rows = midpoint_sample(rows, sample)
-    else:
+    elif not every:
         rows = rows.where("__n <= 200").unionByName(midpoint_sample(rows.where("__n > 200"), 40))
     rows = title_verdicts(rows.drop("__n"), pages)
     if answers is not None:
@@ -224,8 +259,7 @@ def repair(items: DataFrame, incorrect: DataFrame, pages: DataFrame, start_index
     rows = items.join(bad, ["doc_id", "seq"], "left")
     last = pages.groupBy("doc_id").agg(F.max("page_no").alias("__end"))
     rows = filled_neighbours(rows.join(last, "doc_id", "left"), start_index - 1, F.col("__end"), F.col("__bad").isNull())
-    tried = candidate_pages(rows.where("__bad").select("doc_id", "seq", "title", "prev_index", "next_index"), pages)
-    hit = tried.where(T.title_at_start("title", "page_text") == "yes").groupBy("doc_id", "seq").agg(F.min("page_no").alias("__fixed"))
+    hit = first_pages(rows.where("__bad"), pages).withColumnRenamed("page_no", "__fixed")
     rows = rows.join(hit, ["doc_id", "seq"], "left").withColumn("physical_index", F.coalesce("__fixed", "physical_index"))
     return rows.drop("__bad", "__end", "__fixed", "prev_index", "next_index")
 

@@ -25,8 +25,8 @@ def markdown_trees(files: DataFrame, thin_tokens: int | None = None, summarise:
 def page_trees(pages: DataFrame, toc_text: DataFrame | None = None) -> DataFrame:
     """Flat tree rows (as codes_to_tree gives them) of documents in pages.
 
-    Contents pages are found by their looks and parsed; items are aligned by the most frequent offset, verified and
-    repaired. Documents without usable contents are outlined by their headings instead. Every step looks at the
+    Contents pages are found by their looks and parsed; items are aligned by the most frequent offset, verified one
+    and all, and repaired. Documents without usable contents are outlined by their headings instead. Every step looks at the
     items several times, so each is settled before the next.
     """
     run = toc.toc_pages(pages, toc.looks_like_toc("page_text"))
@@ -41,7 +41,7 @@ def page_trees(pages: DataFrame, toc_text: DataFrame | None = None) -> DataFrame
     items = toc.add_offset(kept, offsets)
     items = toc.truncate_indices(items, pages.groupBy("doc_id").agg(F.count("*").alias("n_pages")))
     items = settled(seam.find_indices(items, pages))
-    _, wrong = toc.verify(items, pages)
+    _, wrong = toc.verify(items, pages, every=True)
     items = settled(toc.without_index(toc.repair(items, wrong, pages)).drop("page"))
     rest = pages.join(good, "doc_id", "left_anti")
     items = items.select("doc_id", "seq", "structure", "title", "physical_index").unionByName(seam.heading_items(rest))

@@ -60,9 +60,7 @@ def descriptions(nodes: DataFrame, most: int = 200) -> DataFrame:
 
 def find_indices(items: DataFrame, pages: DataFrame) -> DataFrame:
     """physical_index of unfilled items: the first feasible page with the title at its head."""
-    rows = toc.filled_neighbours(items).where("physical_index is null").select("doc_id", "seq", "title", "prev_index", "next_index")
-    hits = toc.candidate_pages(rows, pages).where(T.title_at_start("title", "page_text") == "yes")
-    first = hits.groupBy("doc_id", "seq").agg(F.min("page_no").alias("__p"))
+    first = toc.first_pages(toc.filled_neighbours(items).where("physical_index is null"), pages).withColumnRenamed("page_no", "__p")
     return items.join(first, ["doc_id", "seq"], "left").withColumn("physical_index", F.coalesce("physical_index", "__p")).drop("__p")
 
 
