@@ -110,6 +110,13 @@ def test_tree_of_random_levels(spark):
             stack.append((i, level))
 
 
+def test_node_ids_past_four_digits(spark):
+    """Ids are padded, never cut: zfill(4) of the number."""
+    rows = spark.range(10020).selectExpr("1 AS doc_id", "array(cast(id AS int)) AS path", "cast(id AS int) AS seq")
+    got = {x.node_seq: x.node_id for x in tree.numbered(rows).collect()}
+    assert got == {i: str(i).zfill(4) for i in range(10020)}
+
+
 def test_structure_budget_ladder(spark):
     r = random.Random(8)
     rows = [(1, i, 1 if i % 9 == 0 else r.randint(2, 4), f"title {i}", "x") for i in range(60)]
