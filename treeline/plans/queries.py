@@ -13,6 +13,7 @@ from treeline.functions import answers
 from treeline.functions import text as T
 from treeline.operators import evaluate, index, navigate, pages, search, toc, tree
 from treeline.plans import build, seam, standins as S
+from treeline.session import settled
 from treeline.sources import readers
 from treeline.streaming import refresh
 
@@ -796,7 +797,7 @@ def books(customers: DataFrame) -> DataFrame:
     UNION ALL SELECT DISTINCT doc_id, 'Preface', 1, 2, 0 FROM k""")
 def _(c):
     """Books in pages to section trees: contents found, parsed, aligned, verified, repaired."""
-    return build.page_trees(books(c)).select("doc_id", "title", "start_index", "end_index", "depth")
+    return build.page_trees(settled(books(c))).select("doc_id", "title", "start_index", "end_index", "depth")
 
 
 @query("answer_evidence", {"d": "documents", "asked": S.QUESTIONS}, f"""WITH {_bm25_sql('SELECT * FROM asked')},
