@@ -10,9 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from treeline.functions import text as T
 from treeline.functions import vectors as V
+from treeline.session import settled
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 RRF_K = 60
@@ -20,6 +22,10 @@ RRF_K = 60
 BROADCAST_TERMS = 500_000
 #: Query vectors of a block (a few kilobytes each at most).
 BROADCAST_QUERIES = 10_000
+#: Scores, of nodes by questions, that a task has in memory at once.
+BLOCK_SCORES = 250_000
+#: Scores are ranked by nine decimals; what is this much worse than the k-th may still round to it.
+ROUNDING = 2e-9
 
 
 def postings(nodes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -77,8 +83,133 @@ def top(rows: DataFrame, by: list[Column], k: int, per: list[str] | None = None,
 
 def search(nodes: DataFrame, keys: list[str], columns: list[str], questions: DataFrame, qkey: str, qcolumn: str, k: int = 50) -> DataFrame:
     """BM25 top k per question, ties to smaller keys."""
-    scored = bm25(nodes, keys, columns, questions, qkey, qcolumn).withColumn("score", F.round("score", 9))
-    return top(scored, [F.col("score"), *map(F.col, keys)], k, [qkey])
+    asked = question_terms(questions, qkey, qcolumn).distinct().limit(BROADCAST_TERMS + 1)
+    table = asked.toArrow()
+    if 0 < table.num_rows <= BROADCAST_TERMS:
+        scored = bm25_best(nodes, keys, columns, table, asked.schema[qkey].dataType, k)
+    else:
+        scored = bm25(nodes, keys, columns, questions, qkey, qcolumn)
+    return top(scored.withColumn("score", F.round("score", 9)), [F.col("score"), *map(F.col, keys)], k, [qkey])
+
+
+def bm25_best(nodes: DataFrame, keys: list[str], columns: list[str], asked, kind: DataType, k: int) -> DataFrame:
+    """(qkey, keys, score) as bm25 gives them, at least the first k of every question. asked: an Arrow table (qkey of
+    that kind, term), not empty.
+
+    Scores of all nodes for all questions are many times the texts, so they never leave their task. Nodes are cut to counts
+    of asked terms once and kept in order of their keys; each task then scores them in blocks and hands on its best.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    qkey = asked.column_names[0]
+    coded = lambda c: asked.column(c).combine_chunks().dictionary_encode(null_encoding="encode")
+    who, term = coded(qkey), coded("term")
+    ids, vocabulary, size, n_asked = who.dictionary, term.dictionary, len(term.dictionary), len(who.dictionary)
+    by_term = np.argsort(np.asarray(term.indices), kind="stable")
+    askers = np.asarray(who.indices)[by_term].astype(np.int64)
+    first = np.searchsorted(np.asarray(term.indices)[by_term], np.arange(size + 1))
+
+    def lengths(lists) -> np.ndarray:
+        return pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+    def counted(batches):
+        for b in batches:
+            many, words = lengths(b.column("words")), b.column("words").flatten()
+            node = np.repeat(np.arange(b.num_rows), many)
+            at = pc.fill_null(pc.index_in(words, value_set=vocabulary.cast(words.type)), -1).to_numpy(zero_copy_only=False)
+            pairs, tf = np.unique(node[at >= 0] * size + at[at >= 0], return_counts=True)
+            ends = pa.array(np.searchsorted(pairs, np.arange(b.num_rows + 1) * size), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (pairs % size, tf)]
+            yield pa.RecordBatch.from_arrays([*b.select(keys).columns, pa.array(many, pa.int32()), *lists], [*keys, "size", "terms", "tfs"])
+
+    def merged(b):
+        """(keys, sizes, node, term, tf) of rows in order of keys, those of one key being one node."""
+        new = b.column("nth").to_numpy() == 1
+        node = np.repeat(np.cumsum(new) - 1, lengths(b.column("terms")))
+        at, tf = (b.column(c).flatten().to_numpy() for c in ("terms", "tfs"))
+        if not new.all():
+            pairs, place = np.unique(node * size + at, return_inverse=True)
+            node, at, tf = pairs // size, pairs % size, np.bincount(place, tf, len(pairs))
+        heads = b.filter(pa.array(new))
+        return heads.select(keys), heads.column("size").to_numpy(), node, at, tf
+
+    def whole(batches):
+        """Batches that end where a node does."""
+        held = None
+        for b in batches:
+            b = b if held is None else pa.concat_batches([held, b])
+            last = int(np.flatnonzero(b.column("nth").to_numpy() == 1)[-1]) if b.num_rows else 0
+            held = b.slice(last)
+            if last:
+                yield b.slice(0, last)
+        if held is not None and held.num_rows:
+            yield held
+
+    def frequencies(batches):
+        df, n, words = np.zeros(size, np.int64), 0, 0
+        for b in whole(batches):
+            df += np.bincount(merged(b)[3], minlength=size)
+            n, words = n + b.num_rows, words + int(b.column("size").to_numpy().sum(dtype=np.int64))
+        seen = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, [-1, -2]), pa.int32()), pa.array(np.append(df[seen], [n, words]), pa.int64())], ["at", "n"])
+
+    words = nodes.select(*keys, F.concat(*[T.tokens(c) for c in columns]).alias("words"))
+    kinds = ", ".join(f"`{c}` {nodes.schema[c].dataType.simpleString()}" for c in keys)
+    rows = words.mapInArrow(counted, f"{kinds}, size int, terms array<int>, tfs array<int>").repartition(*keys).sortWithinPartitions(*keys, "size")
+    rows = settled(rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("size"))))
+    found = dict(rows.mapInArrow(frequencies, "at int, n long").groupBy("at").agg(F.sum("n")).collect())
+    n, total = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(size)
+    df[list(found)] = list(found.values())
+    average = total / n if total else 1.0
+    idf = np.log((n - df + 0.5) / (df + 0.5))
+    idf = np.where(idf > 0, idf, LEAST_IDF)
+
+    def cut(q, s, at, bound):
+        """The first k of every question, with what may round to the k-th; of equals k by order of keys."""
+        order = np.lexsort((at, -s, q))
+        q, s, at = q[order], s[order], at[order]
+        here = np.arange(len(q))
+        begin = np.searchsorted(q, np.arange(n_asked))
+        full = np.searchsorted(q, np.arange(n_asked), "right") - begin >= k
+        bound[full] = np.maximum(bound[full], s[begin[full] + k - 1])
+        run = np.ones(len(q), bool)
+        run[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1])
+        keep = (s >= bound[q] - ROUNDING) & (here - np.maximum.accumulate(np.where(run, here, 0)) < k)
+        return q[keep], s[keep], at[keep]
+
+    def best(batches):
+        bound = np.zeros(n_asked)
+        q, s, at = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        seen, kept, arrived = 0, None, np.zeros(0, np.int64)
+        for b in whole(batches):
+            heads, sizes, node, terms, tf = merged(b)
+            part = idf[terms] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[node] / average)))
+            step = max(1, BLOCK_SCORES // n_asked)
+            for low in range(0, heads.num_rows, step):
+                high = min(low + step, heads.num_rows)
+                i, j = np.searchsorted(node, [low, high])
+                many = first[terms[i:j] + 1] - first[terms[i:j]]
+                pick = np.repeat(first[terms[i:j]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                scores = np.bincount(np.repeat(node[i:j] - low, many) * n_asked + askers[pick], np.repeat(part[i:j], many), (high - low) * n_asked)
+                scores = scores.reshape(high - low, n_asked)
+                if high - low >= k:
+                    bound = np.maximum(bound, np.partition(scores, high - low - k, axis=0)[high - low - k])
+                x, y = np.nonzero((scores > 0) & (scores >= bound - ROUNDING))
+                q, s, at = cut(np.append(q, y), np.append(s, scores[x, y]), np.append(at, x + low + seen), bound)
+            kept = pa.Table.from_batches([heads]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([heads])])
+            arrived = np.append(arrived, np.arange(seen, seen + heads.num_rows))
+            seen += heads.num_rows
+            used = np.isin(arrived, at)
+            kept, arrived = kept.filter(pa.array(used)).combine_chunks(), arrived[used]
+        if len(q):
+            rows = kept.take(pa.array(np.searchsorted(arrived, at)))
+            out = pa.Table.from_arrays([ids.take(pa.array(q)), *rows.columns, pa.array(-s)], [qkey, *keys, "score"])
+            yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(best, f"`{qkey}` {kind.simpleString()}, {kinds}, score double")
 
 
 def vector_search(vectors: DataFrame, keys: list[str], column: str, query: list[float], k: int = 50) -> DataFrame:

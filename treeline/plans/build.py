@@ -73,7 +73,9 @@ def evidence_for(
         rows = search.rerank(pool_rows, F.col("__question"), F.concat_ws("\n", *columns), scorer, by=by).select(*rows.columns, "rerank")
     rows = search.diversify(rows, per_doc, keys[0], by=by)
     rows = search.top(rows, [F.col("position")], k, by, "__nth").drop("__nth")
-    rows = rows.join(nodes.select(*keys, columns[-1]), keys)
+    # k rows a question: texts come to them, and only those of their nodes are moved.
+    few = questions.limit(search.BROADCAST_QUERIES + 1).count() <= search.BROADCAST_QUERIES
+    rows = (F.broadcast(rows) if few else rows).join(nodes.select(*keys, columns[-1]), keys)
     return search.evidence(rows, columns[-1], node_cap, total_cap, by=by), used
 
 
