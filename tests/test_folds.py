@@ -267,6 +267,29 @@ def test_long_contents_are_repaired_throughout(spark):
     assert {x.title: x.start_index for x in got} == {"Preface": 1, **{f"Person{k:04d}": k + 3 for k in range(n)}}
 
 
+def test_page_numbers_past_five_digits(spark):
+    """They are read whole, with their title; numbers of up to five digits and those within titles as ever."""
+    lines = {
+        "1 Customer#000900123 ........ 100124": ("Customer#000900123", 100124), "1.1 Six : 123456789": ("Six", 123456789), "2 Plain 100125": ("Plain", 100125), "3 Tight.....100126": ("Tight", 100126),
+        "4 Spaced ..... 1 2 3 4 5": ("Spaced", 12345), "5 Results vol. 3 12345": ("Results vol. 3", 12345), "6 Roman xii": ("Roman", None),
+    }
+    got = toc.parse(spark.createDataFrame([(1, "\n".join(lines))], "doc_id int, text string")).orderBy("seq").collect()
+    assert [(x.title, x.page) for x in got] == list(lines.values())
+    looks = lambda *texts: [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(toc.looks_like_toc("t")).collect()]
+    assert looks("a ..... 100124\nb ... 100125\nc", "revenue 1200300\ncost 900100\nc", "a 12\nb 13\nc") == [True, False, True]
+
+
+def test_books_numbered_past_99999(spark):
+    """A volume whose pages are numbered on from those before it: contents found, aligned, verified and repaired."""
+    from treeline.plans import build
+
+    n = 30
+    contents = "Contents\n" + "\n".join(f"{k + 1} Person{k:04d} ........ {k + 99_990 + (k % 10 == 9)}" for k in range(n))
+    pages_ = [(1, 1, "A cover"), (1, 2, contents)] + [(1, k + 3, f"Person{k:04d}\nand more") for k in range(n)]
+    got = build.page_trees(spark.createDataFrame(pages_, "doc_id int, page_no int, page_text string")).collect()
+    assert {x.title: x.start_index for x in got} == {"Preface": 1, **{f"Person{k:04d}": k + 3 for k in range(n)}}
+
+
 def test_configurations_are_compared(spark):
     from treeline.plans import build
 

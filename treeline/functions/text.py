@@ -11,10 +11,11 @@ LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 GLUED = (r"Appendix\s+[A-Z]\b", r"References\b", r"Index\b", r"Contents\s+[ivxlcdm]+\b")
 # Running heads within a contents line.
 HEADS = (r"(?<=\d)[ivxlcdm]+\s*CONTENTS\b", r"\b[ivxlcdm]+\s*CONTENTS\b", r"\s*CONTENTS\s+[ivxlcdm]+\b")
-# An entry of a table of contents, and marks of continued titles.
+# An entry of a table of contents, and marks of continued titles. Pages of up to five digits may have blanks in
+# them; longer ones are one piece after a blank or a leader, so they are never cut.
 ENTRY = (
     r"^(\d+(?:\.\d+)*|Appendix\s+[A-Z]|Exercises|References|Index|Preface|Mathematical notation)\b"
-    r"\s*(.*?)\s*(?:[:.]\s*)?((?:\d\s*){1,5}|[ivxlcdm]+)\s*$"
+    r"\s*(.*?)\s*(?:[:.]\s*)?((?:\d\s*){1,5}|(?<=[\s.:])\d{6,9}|[ivxlcdm]+)\s*$"
 )
 CONTINUED = r"\s*[\(\[\-–—]+\s*(?:continued|cont\.?|cont'd|part\s*\d+)\s*[\)\]]?\s*$"
 # Letters with one diacritic that the full-text tokeniser folds.

@@ -283,9 +283,9 @@ def toc_pages(pages: DataFrame, is_toc: Column, most: int = 20) -> DataFrame:
 
 
 def looks_like_toc(text: Column | str) -> Column:
-    """Most of a page's lines end in a page number after a leader or a blank."""
+    """Most of a page's lines end in a page number after a leader or a blank; numbers of six digits or more need the leader."""
     lines = F.filter(F.split(T.col(text), "\n"), lambda x: F.trim(x) != "")
-    hits = F.filter(lines, lambda x: x.rlike(r"(?:\.{2,}|\s)\s*\d{1,5}\s*$"))
+    hits = F.filter(lines, lambda x: x.rlike(r"(?:(?:\.{2,}|\s)\s*\d{1,5}|\.{2,}\s*\d{6,9})\s*$"))
     return (F.size(lines) >= 3) & (F.size(hits) * 2 >= F.size(lines))
 
 
